@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -58,3 +60,20 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[bool, int]:
     """Whether ``df`` has at most ``max_rows`` rows, looking at no more than one row beyond them."""
     n = df.limit(max_rows + 1).count()
     return n <= max_rows, n
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once for an application; Spark serves the archive to them."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="foldsearch-")) / "foldsearch_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
