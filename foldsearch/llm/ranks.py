@@ -1,0 +1,26 @@
+"""Running numbers and running sums within groups of any size, without bringing a group into one task."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def running(df: DataFrame, groups: list[str], chunk: str, order: list[Column], amount: Column, out: str) -> DataFrame:
+    """``out``: sum of ``amount`` over the rows of the group before this one, in order of ``chunk``, then ``order``.
+
+    Chunks cut a group into parts small enough for a task. Their sums (one row for each group and chunk) are run through first; a row then adds its
+    chunk's start to the sum within its chunk. The order must be total for the result to be unique.
+    """
+    keys = [*groups, chunk]
+    marked = df.withColumn("__fs_a", amount)
+    sums = marked.groupBy(*keys).agg(F.sum("__fs_a").alias("__fs_s"))
+    before = Window.partitionBy(*groups).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*keys, F.coalesce(F.sum("__fs_s").over(before), F.lit(0)).alias("__fs_start"))
+    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        marked.withColumn("__fs_w", F.coalesce(F.sum("__fs_a").over(within), F.lit(0)))
+        .join(starts, keys)
+        .withColumn(out, F.col("__fs_start") + F.col("__fs_w"))
+        .drop("__fs_a", "__fs_w", "__fs_start")
+    )
