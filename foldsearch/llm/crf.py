@@ -108,32 +108,48 @@ def train(
     by_tok[flat_tok, flat_feat] = 1
     hard_moves, hard_starts = allowed_moves(labels)
     model = Model(labels, token_classes, index, np.zeros((n_off, len(names), k), np.float32), np.zeros((len(PAIRS), token_classes**2, k), np.float32), hard_moves.copy(), hard_starts.copy())
-    n, t = ids.shape
-    real = np.arange(t)[None] < lengths[:, None]
-    tok_at = [shifted(ids, off, 0) for off in OFFSETS]
-    pair_at = [shifted(classes, a, 0) * token_classes + shifted(classes, b, 0) for a, b in PAIRS]
-    one = np.zeros((n, t, k), np.float32)
-    np.put_along_axis(one, gold[..., None], 1, axis=2)
-    one[~real] = 0
+    n = len(ids)
+    # sequences of like length together, so that little is padding
+    groups = []
+    for take in np.array_split(np.argsort(lengths, kind="stable"), min(6, n)):
+        t = int(lengths[take].max())
+        g_ids, g_cls, g_gold, g_len = ids[take, :t], classes[take, :t], gold[take, :t], lengths[take]
+        real = np.arange(t)[None] < g_len[:, None]
+        one = np.zeros((len(take), t, k), np.float32)
+        np.put_along_axis(one, g_gold[..., None], 1, axis=2)
+        one[~real] = 0
+        toks = [shifted(g_ids, off, 0).ravel() for off in OFFSETS]
+        duos = [(shifted(g_cls, a, 0) * token_classes + shifted(g_cls, b, 0)).ravel() for a, b in PAIRS]
+        groups.append((g_ids, g_cls, g_len, real, one, toks, duos))
     gold_moves = np.zeros((k, k))
-    both = real[:, 1:]
+    both = (np.arange(gold.shape[1])[None] < lengths[:, None])[:, 1:]
     np.add.at(gold_moves, (gold[:, :-1][both], gold[:, 1:][both]), 1)
     params = [model.weights, model.pairs, model.moves, model.starts]
     first = [np.zeros_like(p) for p in params]
     second = [np.zeros_like(p) for p in params]
     for r in range(1, rounds + 1):
         table = np.einsum("df,ofk->dok", by_tok, model.weights, optimize=True)
-        e = model.emissions(table, ids, classes)
-        marg, exp_moves = _expected(e, model.moves, model.starts, lengths)
-        diff = one - marg.astype(np.float32)
-        diff[~real] = 0
-        flat = diff.reshape(-1, k)
-        g_tok = np.stack([_sum_rows(at.ravel(), flat, len(tokens)) for at in tok_at])
+        g_tok = np.zeros((n_off, len(tokens), k), np.float32)
+        g_duo = np.zeros_like(model.pairs)
+        g_moves, g_starts = gold_moves.copy(), np.zeros(k)
+        for g_ids, g_cls, g_len, real, one, toks, duos in groups:
+            marg, exp_moves = _expected(model.emissions(table, g_ids, g_cls), model.moves, model.starts, g_len)
+            diff = one - marg.astype(np.float32)
+            diff[~real] = 0
+            g_moves -= exp_moves
+            g_starts += diff[:, 0].sum(axis=0)
+            flat = diff.reshape(-1, k)
+            wrong = np.flatnonzero(np.abs(flat).max(axis=1) > 1e-3)  # ever fewer
+            flat = flat[wrong]
+            for i, at in enumerate(toks):
+                g_tok[i] += _sum_rows(at[wrong], flat, len(tokens))
+            for i, at in enumerate(duos):
+                g_duo[i] += _sum_rows(at[wrong], flat, token_classes**2)
         grads = [
             np.einsum("df,odk->ofk", by_tok, g_tok, optimize=True) / n,
-            np.stack([_sum_rows(at.ravel(), flat, token_classes**2) for at in pair_at]) / n,
-            np.where(hard_moves == NEVER, 0, gold_moves - exp_moves) / n,
-            np.where(hard_starts == NEVER, 0, diff[:, 0].sum(axis=0)) / n,
+            g_duo / n,
+            np.where(hard_moves == NEVER, 0, g_moves) / n,
+            np.where(hard_starts == NEVER, 0, g_starts) / n,
         ]
         for p, g, m, v in zip(params, grads, first, second):
             g = g - decay * np.where(p > NEVER / 2, p, 0)

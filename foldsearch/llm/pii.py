@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +32,7 @@ PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER
 
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|\n+|[^\w\s]|_")
 #: Labelled passages to train from, and words to each side of a candidate that are labelled with it.
-PASSAGES, REACH = 1500, 12
+PASSAGES, REACH = 2400, 12
 #: Bytes of text looked through at once.
 SLICE_BYTES = 4 << 20
 
@@ -205,11 +206,23 @@ def _spans(labels: np.ndarray, where: list[tuple[int, int]]) -> list[tuple[str,
 _DOMAIN = re.compile(r"[\w.+-]+ ?(?:@|＠|\(at\)|\[at\]|\{at\}| at ) ?[\w-]+(?:(?:\.| dot )[\w-]+)+", re.I)
 
 
+#: What an entity can go on as: nothing beyond an empty line, numbers not beyond a word.
+_LINE = re.compile(r"(?:(?!\n\n).)+", re.S)
+_PARTS = {
+    "email": _LINE,
+    "address": _LINE,
+    "person": _LINE,
+    "phone": re.compile(r"[+＋(]*\d(?:[\d ().+/‑–-]|\s(?!\n))*"),
+    "id_number": re.compile(r"\b[A-Z0-9]+\b(?:[ \n-]\b[A-Z0-9]+\b)*"),
+}
 _HOUSE = re.compile(r"(?<!\w)\d{1,4}[a-z]?(?!\w)")
 
 
-def checked(kind_: str, text: str) -> tuple[int, int] | None:
-    """The part of a labelled text that stays: without outer brackets and closing punctuation; None if it can't be of its type."""
+def checked(kind_: str, text: str, words: set[str] | frozenset[str] = frozenset()) -> tuple[int, int] | None:
+    """The part of a labelled text that stays: without outer brackets and closing punctuation; None if it can't be of its type.
+
+    A name of three words or more doesn't end with one of ``words``, which is the next sentence's.
+    """
     a, b = 0, len(text)
     while a < b and text[a] in " \n<[{\"'“«:;,.":
         a += 1
@@ -232,7 +245,7 @@ def checked(kind_: str, text: str) -> tuple[int, int] | None:
     if kind_ == "email":
         ok = bool(_DOMAIN.fullmatch(got))
     elif kind_ == "phone":
-        ok = digits >= 7
+        ok = digits >= 7 and not re.match(r"\(\d\d?\)", got)
     elif kind_ == "id_number":
         ok = digits >= 5
     elif kind_ == "address":
@@ -242,6 +255,9 @@ def checked(kind_: str, text: str) -> tuple[int, int] | None:
             b -= 1
             got = text[a:b]
         parts = re.findall(r"[^\W\d_]+", got)
+        if len(parts) > 2 and parts[-1].lower() in words and got.endswith(parts[-1]):
+            b = a + len(got[: -len(parts[-1])].rstrip())
+            parts = parts[:-1]
         ok = digits == 0 and len(parts) >= 2 and any(len(p) > 1 for p in parts)
     return (a, b) if ok else None
 
@@ -351,7 +367,7 @@ def find(labeller: Labeller, texts: pa.Array) -> list[list[tuple[str, int, int,
     """(type, first character, last + 1, text) of the entities of each text. Null and empty texts have none."""
     out: list[list[tuple[str, int, int, str]]] = [[] for _ in range(len(texts))]
     at = 0
-    lengths = np.array([0 if x is None else x for x in pa.compute.binary_length(texts).to_pylist()], np.int64)
+    lengths = np.array([0 if x is None else x for x in pc.binary_length(texts).to_pylist()], np.int64)
     while at < len(texts):
         upto = at + 1
         size = lengths[at]
@@ -365,10 +381,11 @@ def find(labeller: Labeller, texts: pa.Array) -> list[list[tuple[str, int, int,
         pieces = [_decoded(raw[i], a - starts[i], b - starts[i]) for i, a, b in windows]
         for (i, _, _), (offset, piece), got in zip(windows, pieces, labeller.label([p for _, p in pieces])):
             for t, a, b in got:
-                kept = checked(t, piece[a:b])
-                if kept:
-                    s, e = a + kept[0], a + kept[1]
-                    out[at + i].append((t, offset + s, offset + e, piece[s:e]))
+                for part in _PARTS[t].finditer(piece[a:b]):
+                    kept = checked(t, part.group(), labeller.model.extra["words"])
+                    if kept:
+                        s, e = a + part.start() + kept[0], a + part.start() + kept[1]
+                        out[at + i].append((t, offset + s, offset + e, piece[s:e]))
         at = upto
     return out
 

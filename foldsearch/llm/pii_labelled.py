@@ -25,6 +25,9 @@ Letter of {person} dated <n> June <year>
 Signed, {person}
 as {person} had already reported in an earlier file
 {person} observed the effect for the first time during a trial run.
+{person} observed the effect for the first time during a trial run.
+{person} noticed the effect for the first time during a trial run.
+{person} described the effect in an earlier letter.
 Erfinder: {person}
 Vertreter: Dipl.-Ing. {person}.
 gez. {person}
@@ -113,8 +116,8 @@ Las muestras están en {address}.
 """,
 }
 
-#: Nothing personal, whatever it looks like.
-PLAIN = """
+#: What looks personal and isn't.
+DECOYS = """
 <cap> & <cap> KG supplies the granulate.
 <cap> & Söhne AG liefert das Gehäuse.
 <given> Filters Ltd makes the cartridge.
@@ -148,6 +151,14 @@ The alley between rows <n> and <n> of the bench is free.
 Let u@v denote the concatenation; then u@v.w is a path.
 The ratio a@b denotes the value of a at b.
 At the point x@T the curve bends.
+File number <upper><upper>-<digits4>-<digits4>-<digits2> was closed.
+Aktenzeichen <upper><upper>-<digits4>-<digits4>-<digits2> betrifft etwas anderes.
+Batch <upper><upper><digits7> was returned.
+Page 1 of <digits3> of the manual.
+"""
+
+#: Plain sentences.
+PLAIN = """
 Advantageously, FIG. <n> shows the rotor (<n>) together with the gas inlet in a sectional view.
 In Example <n>, the membrane was held at <n> kPa for <n> minutes before the valve body was opened.
 By contrast, known devices have the drawback that the lens holder wears out quickly, as measured with gauge <upper><digits3>.
@@ -182,6 +193,14 @@ La FIG. <n> muestra el rotor (<n>) junto con la membrana en sección (véase tam
 Procedimiento para usar el dispositivo de la reivindicación <n>, en el que la membrana se calienta a <n> °C.
 Dispositivo según la reivindicación <n>, en el que el rotor tiene <n> mm de ancho.
 Con poca carga, cada <n> ms, el canal emite una señal que el rotor recibe, lo que acorta el ciclo.
+À faible charge, le rotor perd moins de <n> % de sa raideur sous une couche d'argon.
+Avantageusement, la vanne entoure le rotor.
+L'échangeur de chaleur peut être disposé au-dessus du rotor.
+Ventajosamente, los dispositivos conocidos tienen el inconveniente de que el rotor se desgasta pronto.
+Ventajosamente, preferiblemente, la membrana se forma sobre el rotor.
+Advantageously, when the membrane reaches <n> °C, the rotor is moved.
+Moreover, for the sake of clarity, the rotor is not drawn in FIG. <n>.
+Preferably, the membrane is made in one piece.
 At low load, the feed hopper is moved into its second position when the rotor reaches <n> °C.
 For this purpose, in a further embodiment, the membrane (<n>) has a thickness of <n> to <n> µm.
 As an alternative, the rotor (<n>) and the valve body can be made in one piece.
@@ -361,9 +380,9 @@ class Filler:
         local = r.choice([lambda: f"{low()}.{low()}", lambda: f"{r.choice('abcdefghijklmnopqrstuvwxyz')}{low()}", lambda: f"{low()}_{self.digits(2)}", lambda: f"{low()}+ip", lambda: f"{low()}-{low()}", lambda: "info", lambda: low()])()
         domain = r.choice(["example.com", "example.org", "mail.example.com", "lab.test", "patents.invalid", f"{low()}.example", f"{low()}-{low()[:3]}.example", f"ip-{low()}.example.org"])
         x = r.random()
-        if x < 0.08:
+        if x < 0.12:
             return f"{local} at {domain.replace('.', ' dot ')}"
-        out = f"{local}{'(at)' if x < 0.16 else ' [at] ' if x < 0.24 else ' @ ' if x < 0.32 else '＠' if x < 0.37 else '@'}{domain}"
+        out = f"{local}{'(at)' if x < 0.18 else ' [at] ' if x < 0.24 else ' @ ' if x < 0.32 else '＠' if x < 0.37 else '@'}{domain}"
         return out.upper() if x > 0.9 else out
 
     def address(self) -> str:
@@ -451,22 +470,19 @@ def labelled(n: int, seed: int, given: list[str]) -> list[list[tuple[str, str]]]
     f = Filler(seed, given)
     r = f.r
     frames = {t: lines(b) for t, b in FRAMES.items()}
-    plain = lines(PLAIN)
-    turn = {t: 0 for t in frames}
+    frames |= {"decoy": lines(DECOYS), "plain": lines(PLAIN)}
+    turn = {t: r.randrange(len(frames[t])) for t in frames}
+    kinds = [*TYPES, *TYPES, "person", "decoy", "decoy", "decoy", "plain", "plain", "plain"]
     out = []
     for _ in range(n):
         pieces: list[tuple[str, str]] = []
-        for k in range(r.randint(2, 4)):
+        for k in range(r.randint(2, 3)):
             if k:
                 pieces.append((r.choice([" ", " ", "\n", "\n\n", f"\n\n[{f.digits(4)}] ", f"\n[{f.digits(4)}] "]), ""))
-            if r.random() < 0.68:
-                t = r.choice(list(frames) + ["person", "address"])
-                frame = frames[t][turn[t] % len(frames[t])]
-                turn[t] += 1
-                pieces += f.fill(frame)
-            else:
-                got = f.fill(r.choice(plain))
-                pieces += [(f.worn("".join(p for p, _ in got)), "")] if r.random() < 0.25 else got
+            t = r.choice(kinds)
+            got = f.fill(frames[t][turn[t] % len(frames[t])])  # each frame in turn
+            turn[t] += 1
+            pieces += [(f.worn("".join(p for p, _ in got)), "")] if t == "plain" and r.random() < 0.25 else got
         out.append(pieces)
     return out
 
@@ -475,7 +491,7 @@ def frame_words() -> set[str]:
     """Lower-case words of the frames themselves, without what fills the slots, and the words of addresses: the vocabulary of the model."""
     import re
 
-    text = "\n".join([*FRAMES.values(), PLAIN])
+    text = "\n".join([*FRAMES.values(), DECOYS, PLAIN])
     text = re.sub(r"\{\w+\}|<\w+>", " ", text)
     words = {w.lower() for w in re.findall(r"[^\W\d_]+", text)}
     more = [w for k in ("en", "fr", "es") for w in _STREET[k]] + "Apt Str Am An Alte der des du del de los bis ter n à ip info example com org test invalid mail lab dot at QX ZD ZZ D".split()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldsearch.llm import mixing, packing, tokens, topn, visual
+from foldsearch.llm import mixing, packing, pii, tokens, topn, visual
 from foldsearch.operators.orphans import current_rows
 from foldsearch.runtime import bounded_broadcast, ensure_checkpoint_dir, table
 
@@ -84,8 +84,22 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p8_schedule(spark, d), table(spark, d, "mix_targets"))
 
 
+def p9_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Every occurrence of personal information in the documents."""
+    return pii.find_pii(table(spark, d, "documents"), ["doc_id"], "text", table(spark, d, "given_names").select("given_name"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_entities(spark, d).select("doc_id", "pii_type", "pii_text").distinct()
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with placeholders for what was found."""
+    return pii.redact(table(spark, d, "documents"), ["doc_id"], "text", table(spark, d, "given_names").select("given_name"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_top_places, p4_found, p4_forms, p7_containers, p7_fill, p8_documents, p8_shares, p8_schedule)
+    f.__name__: f for f in (p2_found, p2_top_places, p4_found, p4_forms, p7_containers, p7_fill, p8_documents, p8_shares, p8_schedule, p9_found, p9_entities, p9_redacted)
 }
 
 _CURRENT = "(select * from cities where geoname_id <> 0 qualify row_number() over (partition by geoname_id order by source_line desc) = 1)"
