@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldsearch.llm.ranks import running
+from foldsearch.operators.ordinals import running
 from foldsearch.runtime import small_table
 
 #: Slots of a schedule: blocks get longer rather than slots more.
@@ -102,7 +102,7 @@ def slots(spark, plan: Schedule) -> DataFrame:
     for edge, name in list(zip(plan.edges[1:], plan.sources))[-2::-1]:
         source = F.when(F.col("point") < edge, F.lit(name)).otherwise(source)
     listed = spark.range(plan.slots).withColumn("point", mirrored).select(F.col("id").alias("slot_no"), source.alias("source"), F.expr("id div 65536").alias("chunk"))
-    return running(listed, ["source"], "chunk", [F.col("slot_no")], F.lit(1).cast("long"), "block_no").select("slot_no", "source", "block_no")
+    return running(listed, ["source"], ["chunk"], [F.col("slot_no")], F.lit(1).cast("long"), "block_no").select("slot_no", "source", "block_no")
 
 
 def blocks(counts: DataFrame, plan: Schedule, available: Mapping[str, int], seed: int) -> DataFrame:
@@ -124,7 +124,7 @@ def blocks(counts: DataFrame, plan: Schedule, available: Mapping[str, int], seed
     # the leading part of the draw is the chunk, so that chunks follow one another in drawn order
     shuffled = laid.withColumn("__fs_draw", drawn).withColumn("chunk", F.floor((F.shiftrightunsigned("__fs_draw", 33) / F.lit(float(1 << 31))) * chunks).cast("int"))
     order = [F.shiftrightunsigned("__fs_draw", 33), F.col("__fs_draw"), F.col("doc_id")]
-    at = running(shuffled, ["source", "repeat_no"], "chunk", order, F.col("n_tokens"), "__fs_at")
+    at = running(shuffled, ["source", "repeat_no"], ["chunk"], order, F.col("n_tokens"), "__fs_at")
     position = F.col("repeat_no") * F.col("__fs_have") + F.col("__fs_at") + F.col("n_tokens") / 2
     return at.select("source", "doc_id", "n_tokens", "repeat_no", F.floor(position / plan.block).cast("long").alias("block_no"))
 

@@ -106,7 +106,27 @@ _CURRENT = "(select * from cities where geoname_id <> 0 qualify row_number() ove
 _TOP = f"""select country_code, population, geoname_id, cast(row_number() over (partition by country_code order by population desc, geoname_id) as integer) as rank_no
     from {_CURRENT} where country_code <> '' and population > 0 qualify rank_no <= 10"""
 
+_TABLES = visual.tables()
+_FORM = visual.form_sql(set().union(*_TABLES) | {visual.ZWJ, visual.ZWNJ}, "{source}")
+
+
+def _formed(source: str) -> str:
+    """Forms of a (i, t) source, in SQL over the whole table and with the whole tables of characters."""
+    return _FORM.replace("{source}", source).replace("order by i", "").replace("as t\n        from latin", "as form, i\n        from latin")
+
+
+_FOUND_FORMS = f"""with every as (
+    select geoname_id, 'name' as field_name, name as text from cities union all select geoname_id, 'ascii_name', ascii_name from cities
+    union all select geoname_id, 'alternate_names', unnest(alternate_names) from cities
+  ), named as (select row_number() over () as i, * from (select distinct * from every where text <> '')),
+  batch as (select i, text as t from named), register as (select ref_id as i, name as t from name_register),
+  forms as ({_formed('batch')}), agreed as ({_formed('register')})
+"""
+
 SQL: dict[str, str] = {
+    "p4_found": _FOUND_FORMS
+    + "select distinct geoname_id, field_name, r.ref_id from named n join forms f using (i) join agreed a on a.form = f.form join name_register r on r.ref_id = a.i where n.text <> r.name",
+    "p4_forms": _FOUND_FORMS + "select geoname_id, field_name, text, form from named join forms using (i)",
     "p2_found": f"select country_code, geoname_id from ({_TOP})",
     "p2_top_places": _TOP,
 }

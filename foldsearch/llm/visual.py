@@ -124,12 +124,12 @@ def forms(con, texts: pa.Array) -> pa.Array:
     """The form of each text; null stays null."""
     if len(texts) == 0:
         return pa.array([], pa.string())
-    batch = pa.table({"i": pa.array(range(len(texts)), pa.int64()), "t": texts.cast(pa.string())})  # noqa: F841 (read by the SQL)
+    con.register("batch", pa.table({"i": pa.array(range(len(texts)), pa.int64()), "t": texts.cast(pa.string())}))
     present = set().union(*(x for x in texts.to_pylist() if x))
     if all(c < "\x7f" and c >= " " for c in present):  # ASCII has one form, but for outer spaces
-        got = con.execute("select regexp_replace(t, '^\\s+|\\s+$', '', 'g') as t from batch order by i").to_arrow_table()
+        got = con.sql("select regexp_replace(t, '^\\s+|\\s+$', '', 'g') as t from batch order by i").to_arrow_table()
     else:
-        got = con.execute(form_sql(present)).to_arrow_table()
+        got = con.sql(form_sql(present)).to_arrow_table()
     return got.column("t").combine_chunks()
 
 
