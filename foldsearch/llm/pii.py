@@ -226,15 +226,10 @@ def checked(kind_: str, text: str, words: set[str] | frozenset[str] = frozenset(
     a, b = 0, len(text)
     while a < b and text[a] in " \n<[{\"'“«:;,.":
         a += 1
-    while a < b and text[b - 1] in " \n>]}\"'”»:;,":
+    closing = " \n>]}\"'”»:;," + ("" if kind_ == "person" else ".")
+    while a < b and text[b - 1] in closing:
         b -= 1
     digits = sum(c.isdigit() for c in text)
-    if kind_ != "person" and kind_ != "address":
-        while a < b and text[b - 1] == ".":
-            b -= 1
-    elif kind_ == "address":
-        while a < b and text[b - 1] == ".":
-            b -= 1
     while b > a and text[b - 1] == ")" and text.count("(", a, b) < text.count(")", a, b):
         b -= 1
     while a < b and text[a] == "(" and text.count("(", a, b) > text.count(")", a, b):
