@@ -32,7 +32,7 @@ PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER
 
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|\n+|[^\w\s]|_")
 #: Labelled passages to train from, and words to each side of a candidate that are labelled with it.
-PASSAGES, REACH = 2400, 12
+PASSAGES, REACH = 4000, 12
 #: Bytes of text looked through at once.
 SLICE_BYTES = 4 << 20
 
@@ -210,9 +210,9 @@ _DOMAIN = re.compile(r"[\w.+-]+ ?(?:@|＠|\(at\)|\[at\]|\{at\}| at ) ?[\w-]+(?:(
 _LINE = re.compile(r"(?:(?!\n\n).)+", re.S)
 _PARTS = {
     "email": _LINE,
-    "address": _LINE,
+    "address": re.compile(r"(?:(?!\n\n|(?<=[^\W\d_]{5})\.\s).)+", re.S),  # nor beyond a sentence; abbreviations are shorter
     "person": _LINE,
-    "phone": re.compile(r"[+＋(]*\d(?:[\d ().+/‑–-]|\s(?!\n))*"),
+    "phone": re.compile(r"[+＋(]*\d(?:[\d).+/‑–-]|\((?:0|\d{3})\)|\s(?!\n|\((?!0\)|\d{3}\))))*"),
     "id_number": re.compile(r"\b[A-Z0-9]+\b(?:[ \n-]\b[A-Z0-9]+\b)*"),
 }
 _HOUSE = re.compile(r"(?<!\w)\d{1,4}[a-z]?(?!\w)")
@@ -240,7 +240,7 @@ def checked(kind_: str, text: str, words: set[str] | frozenset[str] = frozenset(
     if kind_ == "email":
         ok = bool(_DOMAIN.fullmatch(got))
     elif kind_ == "phone":
-        ok = digits >= 7 and not re.match(r"\(\d\d?\)", got)
+        ok = digits >= 7 and not re.match(r"\(?\d\d?\)", got)
     elif kind_ == "id_number":
         ok = digits >= 5
     elif kind_ == "address":

@@ -23,6 +23,7 @@ Power of attorney granted to {person} on file.
 Letter of {person} dated 3 May
 Letter of {person} dated <n> June <year>
 Signed, {person}
+Signed, {person}
 as {person} had already reported in an earlier file
 {person} observed the effect for the first time during a trial run.
 {person} observed the effect for the first time during a trial run.
@@ -57,6 +58,8 @@ Phone/Fax: {phone}
 Tel. {phone}
 Tel.: {phone}
 ({phone}, ask for the workshop)
+({phone}, ask for the workshop)
+({phone}, ask for the office)
 Rückruf erbeten unter {phone} bis mittags.
 Telefonisch erreichbar unter {phone}.
 Fernruf {phone}
@@ -70,10 +73,12 @@ The declarant, holder of identity card {id_number}, confirms this.
 Passport number of the inventor: {id_number}.
 Passport no. {id_number}
 Identity no. {id_number}
+Identity no. {id_number}
 (SSN {id_number})
 Social security number {id_number}
 Personalausweisnummer des Erfinders: {id_number}.
 Ausweis-Nr. {id_number}
+Ausweis-Nr. {id_number}
 Reisepass {id_number} lag vor.
 Passeport n° {id_number} présenté.
 Carte d'identité n° {id_number}
@@ -128,6 +133,7 @@ The <cap> principle is used here in a known manner.
 Das <given>-Verfahren ist dem Fachmann geläufig.
 La bomba <given> se describe en otro lugar.
 Le principe de <cap> est connu.
+La vanne <given> est disponible dans le commerce.
 The sample (lot <digits3>-<digits2>-<digits4>) was dried overnight.
 The sample (lot <digits3> <digits2> <digits4>) was dried overnight.
 Le lot <digits3> <digits2> <digits4> a été rejeté.
@@ -151,8 +157,6 @@ The alley between rows <n> and <n> of the bench is free.
 Let u@v denote the concatenation; then u@v.w is a path.
 The ratio a@b denotes the value of a at b.
 At the point x@T the curve bends.
-File number <upper><upper>-<digits4>-<digits4>-<digits2> was closed.
-Aktenzeichen <upper><upper>-<digits4>-<digits4>-<digits2> betrifft etwas anderes.
 Batch <upper><upper><digits7> was returned.
 Page 1 of <digits3> of the manual.
 """
@@ -214,6 +218,7 @@ Das Verhältnis, in dem der Rotor und die Membran stehen, liegt zwischen 1:<n> u
 Demgegenüber: Der Rotor (<n>) kann oberhalb oder unterhalb angeordnet sein, während die Membran teilweise hineinragt und der Kühlkanal frei bleibt.
 Bei geringer Last: Die Aufgabe wird dadurch gelöst, dass der Rotor zumindest teilweise die Membran umschließt, was den Takt verkürzt.
 Der Übersichtlichkeit halber ist der Kühlkanal in FIG. <n> nicht dargestellt.
+Ferner gilt: im Betrieb drückt der Rotor mit einer Kraft von <n> N, sodass der Aufgabetrichter und das Getrieberad aneinander anliegen.
 Alternativ können der Rotor und die Membran einstückig ausgebildet sein.
 Hierzu: Die Membran ist so mit dem Rotor verbunden, dass ein Spalt von <n> mm verbleibt.
 Ferner umfassend: die Antriebswelle, dadurch gekennzeichnet, dass der Rotor (<n>) zumindest teilweise umschließt, was die Membran begrenzt.
@@ -350,6 +355,7 @@ class Filler:
             lambda: f"00{d(2)} {d(4)} {d(6)}",
             lambda: f"{plus}{d(2)} {d(2)} {d(4)} {d(4)}",
             lambda: r.choice([" ", "."]).join(["0" + d(1), *(d(2) for _ in range(4))]),
+            lambda: r.choice([" ", "."]).join(["0" + d(1), *(d(2) for _ in range(4))]),
             lambda: f"{plus}33 {d(1)} {d(2)} {d(2)} {d(2)} {d(2)}",
         ]
         return self._broken(r.choice(forms)())
