@@ -70,12 +70,9 @@ def plan_placement(df: DataFrame, keys: Sequence[str], tasks: int | None = None,
     """Estimate the load per key and plan. ``weight`` is the cost of a row of ``df`` (1 by default)."""
     tasks = tasks or shuffle_tasks(df.sparkSession)
     buckets = BUCKETS_PER_TASK * tasks
-    loads = (
-        df.select(_key_hash(keys).alias(_HASH), (weight if weight is not None else F.lit(1)).cast("double").alias(_LOAD))
-        .groupBy(_HASH)
-        .agg(F.sum(_LOAD).alias(_LOAD))
-    )
-    total = loads.agg(F.sum(_LOAD)).first()[0] or 0.0
+    narrow = df.select(_key_hash(keys).alias(_HASH), (weight if weight is not None else F.lit(1)).cast("double").alias(_LOAD))
+    total = narrow.agg(F.sum(_LOAD)).first()[0] or 0.0  # one number for each map task
+    loads = narrow.groupBy(_HASH).agg(F.sum(_LOAD).alias(_LOAD))
     share = max(total / tasks, 1.0)
     large = F.col(_LOAD) > share
     rows = (

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldsearch.operators import orphans, skew, snapshots, spatial
-from foldsearch.runtime import table
+from foldsearch.runtime import ensure_checkpoint_dir, table
 
 #: A country code is frequent when it holds more than this share of a table's rows.
 FREQUENT_SHARE = 0.03
@@ -88,18 +88,29 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _kept_points(spark: SparkSession, d: str) -> DataFrame:
+    """The points, written once to the shared folder: they are read several times, and are three numbers each."""
+    ensure_checkpoint_dir(spark)
+    return _points(spark, d).checkpoint()
+
+
+def _inside(points: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    areas = table(spark, d, "areas").select(F.col("area_id").alias("area"), F.col("ring_lat").alias("ys"), F.col("ring_lon").alias("xs"))
+    return spatial.containing_areas(points, areas).select(F.col("id").alias("geoname_id"), F.col("area").alias("area_id"))
+
+
 def p6_near(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.near_pairs(_points(spark, d), NEAR_METRES)
+    return spatial.near_pairs(_kept_points(spark, d), NEAR_METRES)
 
 
 def p6_inside(spark: SparkSession, d: str) -> DataFrame:
-    areas = table(spark, d, "areas").select(F.col("area_id").alias("area"), F.col("ring_lat").alias("ys"), F.col("ring_lon").alias("xs"))
-    return spatial.containing_areas(_points(spark, d), areas).select(F.col("id").alias("geoname_id"), F.col("area").alias("area_id"))
+    return _inside(_kept_points(spark, d), spark, d)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    near = p6_near(spark, d).select(F.lit("near").alias("match_kind"), "id_a", "id_b")
-    inside = p6_inside(spark, d).select(F.lit("inside").alias("match_kind"), F.col("geoname_id").alias("id_a"), F.col("area_id").alias("id_b"))
+    points = _kept_points(spark, d)
+    near = spatial.near_pairs(points, NEAR_METRES).select(F.lit("near").alias("match_kind"), "id_a", "id_b")
+    inside = _inside(points, spark, d).select(F.lit("inside").alias("match_kind"), F.col("geoname_id").alias("id_a"), F.col("area_id").alias("id_b"))
     return near.unionAll(inside)
 
 
