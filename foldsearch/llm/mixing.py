@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldsearch.operators.ordinals import running
@@ -155,11 +155,10 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     got = uses(mixed).groupBy("source").agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("n_tokens") * F.col("n_uses")).alias("n_tokens"), F.max("n_uses").alias("most_uses")
     )
-    total = got.agg(F.sum("n_tokens").alias("total"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    total = F.sum("n_tokens").over(Window.partitionBy())  # over the listed sources, a handful of rows
     return (
         targets.select("source", "target_share", "max_repeats")
         .join(got, "source", "left")
-        .join(F.broadcast(total), how="cross")  # one row
-        .select("source", "target_share", "max_repeats", zero("n_docs"), zero("n_tokens"), zero("most_uses"), F.coalesce(F.col("n_tokens") / F.col("total"), F.lit(0.0)).alias("actual_share"))
+        .select("source", "target_share", "max_repeats", zero("n_docs"), zero("n_tokens"), zero("most_uses"), F.coalesce(F.col("n_tokens") / total, F.lit(0.0)).alias("actual_share"))
     )

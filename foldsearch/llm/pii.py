@@ -376,7 +376,7 @@ def find(labeller: Labeller, texts: pa.Array) -> list[list[tuple[str, int, int,
         pieces = [_decoded(raw[i], a - starts[i], b - starts[i]) for i, a, b in windows]
         for (i, _, _), (offset, piece), got in zip(windows, pieces, labeller.label([p for _, p in pieces])):
             for t, a, b in got:
-                for part in _PARTS[t].finditer(piece[a:b]):
+                for part in _parts(t, piece[a:b]):
                     kept = checked(t, part.group(), labeller.model.extra["words"])
                     if kept:
                         s, e = a + part.start() + kept[0], a + part.start() + kept[1]
@@ -385,6 +385,13 @@ def find(labeller: Labeller, texts: pa.Array) -> list[list[tuple[str, int, int,
     return out
 
 
+def _parts(kind_: str, text: str) -> Iterator[re.Match]:
+    """The parts of a labelled text that are entities of their own; two whole names on two lines are two."""
+    if kind_ == "person" and "\n" in text and all(len(x.split()) > 1 for x in text.split("\n") if x):
+        return re.finditer(r"[^\n]+", text)
+    return _PARTS[kind_].finditer(text)
+
+
 def _decoded(raw: bytes, a: int, b: int) -> tuple[int, str]:
     """(characters before, text) of the bytes from ``a`` to ``b`` with what touches them up to the next blanks."""
     while a > 0 and raw[a - 1] not in b" \n":

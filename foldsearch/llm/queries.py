@@ -26,24 +26,24 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    """(geoname_id, field_name, text) of all names; repeated ones once."""
+    """(geoname_id, field_name, text) of all names."""
     one = lambda f, c: F.transform(c, lambda t: F.struct(F.lit(f).alias("field_name"), t.alias("text")))
     fields = F.concat(
         one("name", F.array("name")), one("ascii_name", F.array("ascii_name")), one("alternate_names", F.coalesce("alternate_names", F.array().cast("array<string>")))
     )
-    return table(spark, d, "cities").select("geoname_id", F.inline(fields)).where("text <> ''").distinct()
+    return table(spark, d, "cities").select("geoname_id", F.inline(fields)).where("text <> ''")
 
 
 def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     """Every name of the places with its consistent form."""
-    return visual.with_form(_texts(spark, d), "text", "form")
+    return visual.with_form(_texts(spark, d).distinct(), "text", "form")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     register = visual.with_form(table(spark, d, "name_register").select("ref_id", "name"), "name", "form")
     small, _ = bounded_broadcast(table(spark, d, "name_register"), BROADCAST_NAMES)
-    names = p4_forms(spark, d)
-    met = names.join(F.broadcast(register) if small else register, "form")
+    # repeated names are rare and only results are made distinct, so the names themselves aren't shuffled
+    met = visual.with_form(_texts(spark, d), "text", "form").join(F.broadcast(register) if small else register, "form")
     return met.where("text <> name").select("geoname_id", "field_name", "ref_id").distinct()
 
 
