@@ -103,7 +103,7 @@ def _gold(pieces: list[tuple[str, str]]) -> tuple[str, list[int]]:
 
 
 @lru_cache(2)
-def trained(given: tuple[str, ...], passages: int = PASSAGES, seed: int = 5, rounds: int = 60) -> crf.Model:
+def trained(given: tuple[str, ...], passages: int = PASSAGES, seed: int = 5, rounds: int = 30) -> crf.Model:
     """The model, trained from the labelled table. The same names and numbers give the same model."""
     words, names = pii_labelled.frame_words(), {g.lower() for g in given}
     seqs, index, feats = [], {}, [("outside",)]

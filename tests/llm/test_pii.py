@@ -11,7 +11,7 @@ from foldsearch.llm import crf, pii, pii_labelled
 
 @pytest.fixture(scope="module")
 def model():
-    return pii.trained(("Tilda", "Günther"), rounds=50)
+    return pii.trained(("Tilda", "Günther"), rounds=30)
 
 
 def test_decoding_is_the_best_path():
