@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from foldsearch.functions import fields as X
 from foldsearch.operators.lookup import lookup
-from foldsearch.runtime import small_table  # noqa: F401 (re-exported for callers that make lookups by hand)
+from foldsearch.operators.ordinals import running
+from foldsearch.schema import PLACE
 
 PLACE_FIELDS = 19
 #: Lookup tables up to this many rows are broadcast; larger ones are joined by key.
@@ -88,9 +89,16 @@ def with_admin_names(places: DataFrame, admin1: DataFrame, admin2: DataFrame) ->
 
 
 def read_places(spark: SparkSession, places: str, admin1: str, admin2: str) -> DataFrame:
-    """Place file and both administrative-code files -> named places with a population other than 0, ``line`` giving the order of lines."""
+    """Place file and both administrative-code files -> the place table: named places with a population other than 0, ``source_line`` in order of lines."""
     rows = parse_places(read_lines(spark, places)).where("population <> 0")
-    return with_admin_names(rows, read_admin_names(spark, admin1, "code", "name"), read_admin_names(spark, admin2, "code", "name"))
+    named = with_admin_names(rows, read_admin_names(spark, admin1, "code", "name"), read_admin_names(spark, admin2, "code", "name"))
+    return numbered(named).select(*PLACE.fieldNames())
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``line`` replaced by ``source_line`` = 0, 1, 2, ... in its order; numbered within each split of a file, so no task gets them all."""
+    split = rows.withColumn("__fs_file", F.col("line.file_path")).withColumn("__fs_at", F.col("line.file_block_start")).withColumn("__fs_all", F.lit(0))
+    return running(split, ["__fs_all"], ["__fs_file", "__fs_at"], [F.col("line.n")], F.lit(1).cast("long"), "source_line").drop("__fs_file", "__fs_at", "__fs_all", "line")
 
 
 def write_report(path: str, title: str, rows: list[dict]) -> None:

@@ -38,6 +38,7 @@ def files(tmp_path):
 def test_ingest(spark, files):
     got = {r["geoname_id"]: r for r in P.read_places(spark, *(str(files / f) for f in ("places.txt", "a1.txt", "a2.txt"))).collect()}
     assert set(got) == {1, 0, 4, 6}
+    assert [got[k]["source_line"] for k in (1, 0, 4, 6)] == [0, 1, 2, 3]
     one = got[1]
     assert one["name"] == 'Quote "x"' and one["alternate_names"] == ["Ünï"] and one["alternate_ascii_names"] == ["Alpha", "beta"]
     assert one["admin1_name"] == "Second" and one["admin2_name"] == "County A" and one["elevation"] == 12 and one["dem"] is None and one["timezone"] == "Zone"
@@ -47,6 +48,14 @@ def test_ingest(spark, files):
     assert got[4]["population"] == -5 and got[4]["admin1_name"] is None and got[6]["admin1_name"] is None
 
 
+def test_ingest_feeds_a_store(spark, files, tmp_path):
+    rows = P.read_places(spark, *(str(files / f) for f in ("places.txt", "a1.txt", "a2.txt")))
+    S.write_store(rows, str(tmp_path / "s"))
+    t = S.read_store(spark, str(tmp_path / "s"))
+    assert [r["geoname_id"] for r in t.rows.orderBy("pos").collect()] == [6, 1, 0, 4]
+    assert [r["geoname_id"] for r in search(t, "ünï").collect()] == [1]
+
+
 def test_zip(files, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.write(files / "a1.txt", "a1.txt")
