@@ -83,7 +83,7 @@ def current_rows(cities: DataFrame, columns: list[str]) -> DataFrame:
     rows that tie on it are settled by the largest values, so the result doesn't depend on row order.
     """
     cols = [c for c in columns if c != "geoname_id"]
-    best = F.max(F.struct(F.coalesce("source_line", F.lit(-(2**62))).alias("l"), *cols)).alias("r")
+    best = F.max(F.struct(F.coalesce("source_line", F.lit(-(2**62))).alias("__fs_line"), *cols)).alias("r")
     return cities.where("geoname_id <> 0").groupBy("geoname_id").agg(best).select("geoname_id", *[F.col(f"r.{c}").alias(c) for c in cols])
 
 

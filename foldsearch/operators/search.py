@@ -176,11 +176,12 @@ def batch_search(fields: DataFrame, texts: list[str], limit: int = DEFAULT_LIMIT
         hits = fields.select("pos", F.inline(F.filter(tested, lambda x: x["rank"].isNotNull())))
         out = hits if out is None else out.unionAll(hits)
     if out is None or limit == 0:
-        base = fields.select("pos", F.lit(0).alias("query_no"), F.lit(0).alias("rank"), F.lit(0).alias("rank_no"))
+        base = fields.select("pos", F.lit(0).alias("query_no"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("rank_no"))
         return base.where("false")
     order = Window.partitionBy("query_no").orderBy("rank", "pos")
     numbered = out.withColumn("rank_no", F.row_number().over(order))
-    return numbered if limit < 0 else numbered.where(F.col("rank_no") <= limit)
+    # compared before the cast, so that Spark limits each query's rows before the shuffle
+    return (numbered if limit < 0 else numbered.where(F.col("rank_no") <= limit)).withColumn("rank_no", F.col("rank_no").cast("long"))
 
 
 class SearchSession:

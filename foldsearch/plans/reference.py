@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foldsearch import workload
 from foldsearch.functions import fields as X
 from foldsearch.functions import fold as U
 from foldsearch.operators import artifacts as A
@@ -23,7 +24,7 @@ PARTS = SearchSpec("p_partkey", ("p_name",), ("p_brand", "p_type"), "cents", "p_
 DOCUMENTS = SearchSpec("doc_id", ("text",), ("title", "applicant"), "n_chars", "doc_id")
 
 #: The queries of the published workload.
-WORKLOAD = ["a", "an", "new", "san", "city", "to", "tok", "tokyo", "mün", "mun", "são", "rio", "los", "paris", "york", "京", "東京", "北京", "ß", "ffi"]
+WORKLOAD = workload.QUERIES
 BATCH = ["a", "an", "new", "san", "burg", "to", "mün", "são", "rio", "ß", "ffi", "о", "ова", "北", "가", "  Upper "]
 
 

@@ -60,3 +60,9 @@ def test_placed_rows_are_not_moved_again(spark):
     plan = skew.plan_placement(df, ["k"], 4)
     p = plan_of(skew.place(df, ["k"], plan, ["id"]).groupBy(skew.TASK, "k").agg(F.count("*")))
     assert p.lower().count("exchange (") <= 2  # one exchange, perhaps one small broadcast
+
+
+def test_batches_are_limited_before_the_shuffle(tables):
+    from foldsearch.operators.search import batch_search
+
+    assert "WindowGroupLimit" in plan_of(batch_search(tables.fields, ["a", "b"], 5))
