@@ -39,7 +39,7 @@ def top_n(df: DataFrame, groups: list[str], score: str, ties: list[str], n: int)
     Null groups and null scores are left out. Equal rows are items of their own, in any order among themselves. ``n`` below 1 or an empty table give no
     rows; other columns are not carried along.
     """
-    rows = df.select(*groups, score, *ties).where(F.col(score).isNotNull())
+    rows = df.select(*dict.fromkeys([*groups, score, *ties])).where(F.col(score).isNotNull())
     for g in groups:
         rows = rows.where(F.col(g).isNotNull())
     if n < 1:

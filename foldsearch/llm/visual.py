@@ -135,6 +135,8 @@ def forms(con, texts: pa.Array) -> pa.Array:
 
 def with_form(df: DataFrame, column: str, out: str) -> DataFrame:
     """``df`` with the form of ``column`` as ``out`` (a column of that name is replaced). Null stays null, empty texts stay empty."""
+    if out == column:
+        return with_form(df, column, "__fs_form").drop(column).withColumnRenamed("__fs_form", column)
     ship_package(df.sparkSession)
     rest = df.drop(out)
     schema = T.StructType([*rest.schema.fields, T.StructField(out, T.StringType())])
