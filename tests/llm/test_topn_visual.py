@@ -110,4 +110,4 @@ def test_with_form_keeps_other_columns(spark):
     got = sorted((tuple(r) for r in visual.with_form(df, "t", "form").select("t", "i", "form").collect()), key=repr)
     assert got == sorted([("Ｎ", 1, "N"), (None, 2, None), ("", None, "")], key=repr)
     assert visual.with_form(df.limit(0), "t", "form").count() == 0
-    assert sorted(r["t"] or "-" for r in visual.with_form(df, "t", "t").collect()) == ["", "-", "N"]
+    assert {r["t"] for r in visual.with_form(df, "t", "t").collect()} == {"N", "", None}
