@@ -75,6 +75,13 @@ def test_pack_fills_equal_halves():
     assert plan.containers == 15
 
 
+def test_many_lengths_are_thinned(monkeypatch):
+    monkeypatch.setattr(packing, "MOST_BOUNDS", 20)
+    lengths = np.arange(1, 501)
+    plan = packing.plan_containers(lengths, np.ones(500, np.int64), 500, 0.0)
+    assert len(plan.bounds) <= 20 and plan.bounds[-1] == 500 and plan.containers >= 251
+
+
 def test_schedule_counts():
     for n in (0, 1, 2, 3, 17, 64, 1000):
         pts = [mixing.van_der_corput(i) for i in range(n)]
