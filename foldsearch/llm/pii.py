@@ -2,7 +2,7 @@
 
 Texts are looked through as bytes, a few numpy passes for all texts of a batch: every email address holds an at-sign or what stands for one, every
 phone and identity number seven digits or a long word of letters and digits, every address a number near a comma or preposition before a
-capital, every name two capitalised words in a row. Around each such place a window of words is labelled by the random field; text
+capital, every name two capitalised words in a row of which the first is no article. Around each such place a window of words is labelled by the random field; text
 without any such place can hold none of the five types and is not labelled. A last, exact check trims brackets and closing
 punctuation and drops spans that can't be what they are labelled (an email without a domain, a number with too few digits).
 
@@ -293,15 +293,14 @@ def candidate_windows(data: np.ndarray, starts: np.ndarray, reach: int = REACH)
     word = cls > 0
     first = word.copy()
     first[1:] &= ~word[:-1]
-    begin = np.flatnonzero(first | (np.isin(np.arange(n), starts[:-1]) & word)) if len(starts) > 2 else np.flatnonzero(first)
+    edges = starts[:-1][starts[:-1] < n]  # a text's beginning begins a word, too
+    first[edges] = word[edges]
+    begin = np.flatnonzero(first)
     if len(begin) == 0:
         return []
     last = word.copy()
-    last[:-1] &= ~word[1:]
+    last[:-1] &= ~word[1:] | first[1:]
     end = np.flatnonzero(last) + 1
-    if len(end) != len(begin):  # texts that touch without a gap: a word ends where the next text begins
-        end = np.append(begin[1:], n)
-        end = np.minimum(end, np.flatnonzero(last)[np.searchsorted(np.flatnonzero(last), begin)] + 1)
     text = np.searchsorted(starts, begin, side="right") - 1
     digit = np.concatenate([[0], np.cumsum(cls == 3, dtype=np.int32)])
     nd = digit[end] - digit[begin]
