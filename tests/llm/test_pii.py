@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from foldsearch.llm import crf, pii, pii_labelled
@@ -118,3 +119,11 @@ def test_checked():
 
 def test_labelled_table_is_the_same_each_time():
     assert pii_labelled.labelled(20, 3, ["A"]) == pii_labelled.labelled(20, 3, ["A"])
+
+
+def test_full_training_finds_whole_names(small_dir):
+    """Trained as the queries train: names that fewer rounds missed or cut."""
+    given = pq.read_table(f"{small_dir}/given_names.parquet").column("given_name").to_pylist()
+    m = pii.trained(tuple(sorted({g for g in given if g is not None})))
+    assert found(m, "Die Vorrichtung. Inventor: Jorund Brünowicz-Kalière Q = ∫ q(t) dt") == {("person", "Jorund Brünowicz-Kalière")}
+    assert found(m, "after 773 hours. Signed, Jürna Grevwold In this case, when the rotor") == {("person", "Jürna Grevwold")}
