@@ -1,9 +1,10 @@
 """Personal information in free text: found by a linear-chain conditional random field, replaced by typed placeholders.
 
-Texts are looked through as bytes, a few numpy passes for all texts of a batch: every email address holds an at-sign or what stands for one, every
-phone and identity number seven digits or a long word of letters and digits, every address a number near a comma or preposition before a
-capital, every name two capitalised words in a row of which the first is no article. Around each such place a window of words is labelled by the random field; text
-without any such place can hold none of the five types and is not labelled. A last, exact check trims brackets and closing
+Texts are looked through as bytes, a few numpy passes for all texts of a batch, for places that may hold one of the types: an at-sign or what
+stands for one, ' at ' before a dotted word; numbers with seven digits in a row; words of capitals and digits in a row with five digits; two
+capitalised words, also with particles between; a number near a comma or preposition before a capital, or beside a capitalised word. After an
+article, after particles or beside a number, a word of the training sentences is no name. Around each such place a window of words is labelled by
+the random field, other text is not. Not marked: names of one word or in small letters, digits other than 0 to 9. A last, exact check trims brackets and closing
 punctuation and drops spans that can't be what they are labelled (an email without a domain, a number with too few digits).
 
 The field's features are word shapes, suffixes and the words of the training sentences, within five words. It is trained from a small labelled table
@@ -138,6 +139,7 @@ class Labeller:
 
     def __init__(self, model: crf.Model):
         self.model = model
+        self.known = known_words(model.extra["words"])
         self._reset()
 
     def _reset(self) -> None:
@@ -270,12 +272,23 @@ def _byte_classes() -> np.ndarray:
 
 _CLASSES = _byte_classes()
 _ARTICLES = np.array([int.from_bytes(w.encode(), "little") for w in ("The", "Der", "Die", "Das", "Den", "Dem", "Des", "Ein", "Im", "In", "An", "Am", "As", "At", "By", "Le", "La", "Les", "El", "Los", "Las", "FIG")], np.int64)
+#: Small words inside names and streets, as the first bytes of a word (see ``head``).
+_PARTICLES = np.array([int.from_bytes(w.encode(), "little") for w in "van von vom zu zum zur und der den dem des de del di da do dos das du d l la le las los el al y e i bin ibn ben ter ten te op het av af".split()], np.int64)
+#: ' at ' before what may be a domain, as _DOMAIN has it.
+_SPOKEN = re.compile(rb" at  ?[\w\x80-\xff-]+(?:\.| dot )[\w\x80-\xff-]", re.I)
 
 
-def candidate_windows(data: np.ndarray, starts: np.ndarray, reach: int = REACH) -> list[tuple[int, int, int]]:
-    """(text, first byte, last byte + 1): windows of ``reach`` words around every place that may hold an entity, overlapping ones merged.
+def known_words(words: set[str]) -> frozenset[bytes]:
+    """The words of the training sentences but those of streets, capitalised: no names and no streets of their own."""
+    streets = {w.lower() for kind_ in pii_labelled._STREET.values() for w in kind_}
+    return frozenset(x.encode() for w in words - streets for x in (w.capitalize(), w.upper()))
 
-    ``data`` are the UTF-8 bytes of all texts, ``starts`` where each begins (and the end of the last).
+
+def candidate_windows(data: np.ndarray, starts: np.ndarray, reach: int = REACH, known: frozenset[bytes] = frozenset()) -> list[tuple[int, int, int]]:
+    """(text, first byte, last byte + 1): windows of ``reach`` words around the places that may hold an entity, overlapping ones merged.
+
+    ``data`` are the UTF-8 bytes of all texts, ``starts`` where each begins (and the end of the last). A word of ``known`` after an article, after
+    particles or beside a short number makes no such place.
     """
     n = len(data)
     if n < 3:
@@ -310,25 +323,45 @@ def candidate_windows(data: np.ndarray, starts: np.ndarray, reach: int = REACH)
     gap = np.full(len(begin), 1_000, np.int64)
     gap[1:] = np.where(text[1:] == text[:-1], begin[1:] - end[:-1], 1_000)
     hit = np.zeros(len(begin), bool)
-    # long words of letters and digits; runs of numbers with seven digits
-    hit |= (nd >= 5) & (length >= 7)
-    goes_on = has & np.concatenate([[False], has[:-1]]) & (gap <= 4) & (data[np.maximum(begin - 1, 0)] != ord("["))
+    # words of letters and digits with five digits; words of capitals and digits in a row, with five digits in all
+    hit |= nd >= 5
+    capitals = np.concatenate([[0], np.cumsum((data >= ord("A")) & (data <= ord("Z")), dtype=np.int32)])
+    code = nd + capitals[end] - capitals[begin] == length
+    sep = data[np.maximum(begin - 1, 0)]
+    row = np.cumsum(~(code & np.concatenate([[False], code[:-1]]) & (gap == 1) & np.isin(sep, [ord(" "), ord("\n"), ord("-")])))
+    hit |= code & has & (np.bincount(row, weights=nd * code)[row] >= 5)
+    # runs of numbers with seven digits
+    goes_on = has & np.concatenate([[False], has[:-1]]) & (gap <= 12) & (sep != ord("["))
     run = np.cumsum(~goes_on)
     hit |= has & (np.bincount(run, weights=nd)[run] >= 7)
-    # two capitalised words without digits
+    # two capitalised words without digits, with up to three particles between
     plain = cap & ~has
-    two = plain.copy()
-    two[1:] &= plain[:-1] & (gap[1:] <= 3)
-    two[0] = False
     padded = np.concatenate([data, np.zeros(4, np.uint8)]).astype(np.int64)
     head = padded[begin] | (padded[begin + 1] << 8) * (length > 1) | (padded[begin + 2] << 16) * (length > 2)
     article = (length <= 3) & np.isin(head, _ARTICLES)
-    two[1:] &= ~article[:-1]
-    two &= ~((length == 3) & (head == int.from_bytes(b"FIG", "little")))
-    hit |= two
+    follows = plain & np.concatenate([[False], plain[:-1]]) & (gap <= 3)
+    weak = follows & (np.concatenate([[False], article[:-1]]) | (length == 3) & (head == int.from_bytes(b"FIG", "little")))
+    hit |= follows & ~weak
+    small_word = (length <= 3) & ~has & np.isin(head, _PARTICLES)
+    reached = np.concatenate([[False], plain[:-1]]) & (gap <= 3)
+    for _ in range(3):
+        reached = np.concatenate([[False], (small_word & reached)[:-1]]) & (gap <= 3)
+        weak |= plain & reached
+    # a short number beside a capitalised word, or up to four small words before one
+    house = (nd > 0) & (nd <= 4) & (length - nd <= 1) & (cls[begin] == 3)
+    comma = data[np.maximum(begin - 2, 0)] == ord(",")
+    weak[:-1] |= (plain & (length > 1))[:-1] & house[1:] & ((gap[1:] == 1) & np.isin(sep[1:], [ord(" "), ord("\n")]) | (gap[1:] == 2) & comma[1:])
+    reached = np.concatenate([[False], house[:-1]]) & (gap <= 2)
+    for _ in range(5):
+        weak |= plain & (length > 1) & reached
+        reached = np.concatenate([[False], (reached & (cls[begin] == 1) & ~has)[:-1]]) & (gap == 1)
+    weak &= ~hit
+    if weak.any():
+        raw = data.tobytes()
+        weak = np.flatnonzero(weak)
+        hit[[i for i, a, b in zip(weak.tolist(), begin[weak].tolist(), end[weak].tolist()) if raw[a:b] not in known]] = True
     # a capital or number after a comma, or a capital after a preposition, with a number within six words before
-    before = np.maximum(begin - 2, 0)
-    comma = (data[before] == ord(",")) & (gap >= 2) & (gap <= 4)
+    comma &= (gap >= 2) & (gap <= 4)
     short = has & (length <= 6)
     counted = np.concatenate([[0], np.cumsum(short, dtype=np.int64)])
     at = np.arange(len(begin))
@@ -341,7 +374,13 @@ def candidate_windows(data: np.ndarray, starts: np.ndarray, reach: int = REACH)
     wide = data[:-2] == 0xEF  # the wide at-sign
     marks = np.union1d(np.flatnonzero(data == ord("@")), np.flatnonzero(wide & (data[1:-1] == 0xBC) & (data[2:] == 0xA0)))
     dots = np.flatnonzero((length == 3) & (head == int.from_bytes(b"dot", "little")))
-    ats = np.flatnonzero((length == 2) & ((head == int.from_bytes(b"at", "little")) | (head == int.from_bytes(b"AT", "little"))) & np.isin(data[np.maximum(begin - 1, 0)], [ord("("), ord("["), ord("{")]))
+    ats = np.flatnonzero((length == 2) & np.isin(head, [int.from_bytes(x, "little") for x in (b"at", b"AT", b"At", b"aT")]))
+    opened = np.isin(sep[ats], [ord("("), ord("["), ord("{")])
+    spoken = ats[(sep[ats] == ord(" ")) & (begin[ats] > 0)]
+    if len(spoken):
+        raw = data.tobytes()
+        spoken = np.array([i for i in spoken.tolist() if _SPOKEN.match(raw, begin[i] - 1)], np.int64)
+    ats = np.union1d(ats[opened], spoken)
     hits += [np.searchsorted(begin, marks, side="right") - 1, dots, ats]
     where = np.unique(np.maximum(np.concatenate(hits), 0))
     if len(where) == 0:
@@ -371,7 +410,7 @@ def find(labeller: Labeller, texts: pa.Array) -> list[list[tuple[str, int, int,
         raw = [b"" if x is None else x for x in texts[at:upto].cast(pa.binary()).to_pylist()]
         data = np.frombuffer(b"".join(raw), np.uint8)
         starts = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-        windows = candidate_windows(data, starts)
+        windows = candidate_windows(data, starts, known=labeller.known)
         pieces = [_decoded(raw[i], a - starts[i], b - starts[i]) for i, a, b in windows]
         for (i, _, _), (offset, piece), got in zip(windows, pieces, labeller.label([p for _, p in pieces])):
             for t, a, b in got:

@@ -127,3 +127,21 @@ def test_full_training_finds_whole_names(small_dir):
     m = pii.trained(tuple(sorted({g for g in given if g is not None})))
     assert found(m, "Die Vorrichtung. Inventor: Jorund Brünowicz-Kalière Q = ∫ q(t) dt") == {("person", "Jorund Brünowicz-Kalière")}
     assert found(m, "after 773 hours. Signed, Jürna Grevwold In this case, when the rotor") == {("person", "Jürna Grevwold")}
+
+
+def windows(model, text):
+    raw = text.encode()
+    return pii.candidate_windows(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), known=pii.Labeller(model).known)
+
+
+def test_places_without_a_plain_sign_are_marked(model):
+    for text in ("heard from Ludwig van Beek today", "with Ludwig van der Beek", "by An Nguyen", "mail jan at example.org or jan At lab dot test", "lives in Lindenweg 5", "at 5 rue de la Quorve", "card A12345", "card QQ 12 34 56 C", "call 030 (0) – 12 – 34 5"):
+        assert windows(model, text), text
+    for text in ("The Rotor", "shown in FIG. 3 of the rotor", "the value at low load", "In Beispiel 5 wurde", "the rotor"):
+        assert not windows(model, text), text
+
+
+def test_marked_places_are_found(model):
+    assert found(model, "Letter of An Nguyen dated 3 May") == {("person", "An Nguyen")}
+    assert found(model, "Write to jan at example.org for samples.") == {("email", "jan at example.org")}
+    assert found(model, "Identity no. QQ 12 34 56 C") == {("id_number", "QQ 12 34 56 C")}
