@@ -14,6 +14,7 @@ A text over the capacity is cut into parts of the capacity, and only its last pa
 from __future__ import annotations
 
 from bisect import insort
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,8 +28,8 @@ from foldsearch.runtime import ship_package, small_table
 
 #: Price of a bucket in tokens: without it every length would be a bucket.
 BUCKET_COST = 8.0
-#: Lengths the programme chooses boundaries from; its work grows with their square.
-MOST_BOUNDS = 10_000
+#: Lengths the programme chooses boundaries from; its work grows with their number.
+MOST_BOUNDS = 10_000_000
 #: Texts of one bucket numbered in one task.
 CHUNK_ROWS = 100_000
 
@@ -38,27 +39,34 @@ PACKED = "pack_id int, container_no bigint, doc_id bigint, part_no int, first_to
 def length_buckets(lengths: np.ndarray, counts: np.ndarray, bucket_cost: float) -> np.ndarray:
     """Upper bounds (ascending, among ``lengths``) with the least padding plus ``bucket_cost`` for each bucket.
 
-    Best cost of the lengths up to j = least over i of best(i) + padding of the lengths in (i, j] to lengths[j] + bucket_cost.
+    Best cost of the lengths up to j = least over i of best(i) + padding of the lengths in (i, j] to lengths[j] + bucket_cost. For each i this is a line
+    over lengths[j], falling by the number of texts up to i: the lower hull of the lines is kept, in whole numbers, so that nothing is rounded.
     """
     m = len(lengths)
     if m == 0:
         return np.zeros(0, np.int64)
-    if m > MOST_BOUNDS:  # capacities of many thousand tokens: boundaries among evenly chosen lengths only
+    if m > MOST_BOUNDS:  # capacities of many million tokens: boundaries among evenly chosen lengths only
         picked = np.unique(lengths[np.linspace(0, m - 1, MOST_BOUNDS).round().astype(np.int64)])
         counts = np.bincount(np.searchsorted(picked, lengths), weights=counts, minlength=len(picked))
         lengths, m = picked, len(picked)
-    n = np.concatenate([[0], np.cumsum(counts)]).astype(float)
-    tokens = np.concatenate([[0], np.cumsum(counts * lengths)]).astype(float)
-    best = np.zeros(m + 1)
-    cut = np.zeros(m + 1, np.int64)
-    for j in range(1, m + 1):
-        cost = best[:j] + lengths[j - 1] * (n[j] - n[:j]) - (tokens[j] - tokens[:j])
-        cut[j] = i = int(np.argmin(cost))
-        best[j] = cost[i] + bucket_cost
+    price, unit = float(bucket_cost).as_integer_ratio()
+    hull: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # texts up to i, best(i) + tokens up to i in units, i
+    n = tokens = 0
+    cut = [0] * (m + 1)
+    for j, (length, count) in enumerate(zip(lengths.tolist(), counts.tolist()), 1):
+        n, tokens = n + int(count), tokens + int(count) * length
+        x = length * unit
+        while len(hull) > 1 and hull[1][1] - x * hull[1][0] < hull[0][1] - x * hull[0][0]:
+            hull.popleft()
+        cut[j] = hull[0][2]
+        line = n, hull[0][1] + x * (n - hull[0][0]) + price, j
+        while len(hull) > 1 and (line[1] - hull[-2][1]) * (hull[-1][0] - hull[-2][0]) <= (hull[-1][1] - hull[-2][1]) * (line[0] - hull[-2][0]):
+            hull.pop()
+        hull.append(line)
     bounds, j = [], m
     while j:
         bounds.append(int(lengths[j - 1]))
-        j = int(cut[j])
+        j = cut[j]
     return np.array(bounds[::-1], np.int64)
 
 

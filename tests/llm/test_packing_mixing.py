@@ -82,6 +82,18 @@ def test_many_lengths_are_thinned(monkeypatch):
     assert len(plan.bounds) <= 20 and plan.bounds[-1] == 500 and plan.containers >= 251
 
 
+def test_many_lengths_stay_optimal():
+    """Over 10,000 lengths: as cheap as the programme that tries every boundary."""
+    lengths = np.cumsum(np.random.default_rng(3).integers(1, 4, 12_000))
+    counts = np.random.default_rng(4).integers(1, 5, len(lengths))
+    n, tokens, best = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * lengths)]), np.zeros(len(lengths) + 1)
+    for j in range(1, len(lengths) + 1):
+        best[j] = (best[:j] + lengths[j - 1] * (n[j] - n[:j]) - (tokens[j] - tokens[:j])).min() + 8
+    bounds = packing.length_buckets(lengths, counts, 8.0)
+    padded = int(((bounds[np.searchsorted(bounds, lengths)] - lengths) * counts).sum())
+    assert padded + 8 * len(bounds) == best[-1]
+
+
 def test_schedule_counts():
     for n in (0, 1, 2, 3, 17, 64, 1000):
         pts = [mixing.van_der_corput(i) for i in range(n)]
