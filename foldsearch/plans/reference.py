@@ -12,7 +12,7 @@ from foldsearch.functions import fields as X
 from foldsearch.functions import fold as U
 from foldsearch.operators import artifacts as A
 from foldsearch.operators import catalog, lookup
-from foldsearch.operators.ordinals import positions
+from foldsearch.operators.ordinals import TIE_BLOCK, positions, running
 from foldsearch.operators.search import Mode, Query, SearchSession, SearchTables, batch_search, intersect_postings, matches, ranked, search
 from foldsearch.runtime import table
 from foldsearch.schema import PLACES, SearchSpec
@@ -477,6 +477,14 @@ def sorted_ids(spark, d):
     return table(spark, d, "cities").where("population > 1000000").groupBy("country_code").agg(F.array_sort(F.collect_set("geoname_id")).alias("ids"))
 
 
+@query("select country_code, geoname_id, row_number() over (partition by country_code order by geoname_id) - 1 as id_no from (select distinct country_code, geoname_id from cities where geoname_id is not null)")
+def sorted_ids_all(spark, d):
+    """The sorted id list of each country over all rows, one row for each id: numbered in id blocks, so no country needs one task or one array."""
+    ids = table(spark, d, "cities").where("geoname_id is not null").select("country_code", "geoname_id").distinct()
+    code = ids.withColumns({"none": F.col("country_code").isNull(), "code": F.coalesce("country_code", F.lit("")), "block": F.floor(F.col("geoname_id") / TIE_BLOCK)})
+    return running(code, ["none", "code"], ["block"], [F.col("geoname_id")], F.lit(1).cast("long"), "id_no").select("country_code", "geoname_id", "id_no")
+
+
 @query(f"with {_PLACED} select country_code, count(*) as n, min(pos) as best from placed group by country_code")
 def best_position(spark, d):
     return placed(spark, d).groupBy("country_code").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("best"))

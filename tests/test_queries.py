@@ -31,3 +31,10 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
     for n in (1, 3, 5, 6):
         assert f"p{n}_found" in e.queries()
+
+
+def test_sorted_ids_of_all_rows(spark, con, small_dir):
+    import __spark_entry__ as e
+
+    n = con.execute("select count(*) from (select distinct country_code, geoname_id from cities where geoname_id is not null)").fetchone()[0]
+    assert e.queries()["sorted_ids_all"](spark, small_dir).count() == n
