@@ -2,7 +2,7 @@
 
 Three steps, each over all rows:
 
-1. *Estimate*: rows per key, combined map-side, so the estimate shuffles one row per key and map task.
+1. *Estimate*: the load per key, combined map-side, so the estimate shuffles one row per key and map task.
 2. *Place*: a key whose load exceeds an even task's share is split into proportionate shards; all other
    keys are gathered in hash buckets. Shards and buckets are packed onto tasks, heaviest first, always
    onto the least loaded task. What reaches the driver is bounded by the number of tasks, not of keys:
@@ -14,14 +14,14 @@ Three steps, each over all rows:
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldsearch.runtime import shuffle_tasks, small_table
+from foldsearch.runtime import ensure_checkpoint_dir, shuffle_tasks, small_table
 
 #: Hash buckets of small keys for each task; more buckets even out better.
 BUCKETS_PER_TASK = 16
@@ -71,10 +71,9 @@ def plan_placement(df: DataFrame, keys: Sequence[str], tasks: int | None = None,
     tasks = tasks or shuffle_tasks(df.sparkSession)
     buckets = BUCKETS_PER_TASK * tasks
     narrow = df.select(_key_hash(keys).alias(_HASH), (weight if weight is not None else F.lit(1)).cast("double").alias(_LOAD))
-    total = narrow.agg(F.sum(_LOAD)).first()[0] or 0.0  # one number for each map task
     loads = narrow.groupBy(_HASH).agg(F.sum(_LOAD).alias(_LOAD))
-    share = max(total / tasks, 1.0)
-    large = F.col(_LOAD) > share
+    # the total is taken from the same loads, in the same job, so that the rows are read once
+    large = F.col(_LOAD) > F.greatest(loads.agg(F.sum(_LOAD)).scalar() / F.lit(tasks), F.lit(1.0))
     rows = (
         loads.groupBy(
             F.when(large, F.col(_HASH)).alias(_HASH),
@@ -83,6 +82,7 @@ def plan_placement(df: DataFrame, keys: Sequence[str], tasks: int | None = None,
         .agg(F.sum(_LOAD).alias(_LOAD))
         .collect()  # at most tasks + buckets rows
     )
+    share = max(sum(r[_LOAD] for r in rows) / tasks, 1.0)
     items: dict[object, float] = {}
     count: dict[int, int] = {}
     for r in rows:
@@ -114,8 +114,11 @@ def _with_plan(df: DataFrame, keys: Sequence[str], plan: Placement) -> DataFrame
 
 
 def _bucket_task(plan: Placement) -> Column:
-    lookup = F.lit(list(plan.bucket_task)).cast("array<int>")
-    return F.element_at(lookup, (F.pmod(F.col(_HASH), F.lit(len(plan.bucket_task))) + 1).cast("int"))
+    # one text literal with a few digits for each bucket, rather than an array of BUCKETS_PER_TASK * tasks numbers
+    width = max(1, len(f"{plan.tasks - 1:x}"))
+    lookup = F.lit("".join(f"{t:0{width}x}" for t in plan.bucket_task))
+    at = (F.pmod(F.col(_HASH), F.lit(len(plan.bucket_task))) * width + 1).cast("int")
+    return F.conv(F.substring(lookup, at, F.lit(width)), 16, 10).cast("int")
 
 
 def place(df: DataFrame, keys: Sequence[str], plan: Placement, spread: Sequence[str]) -> DataFrame:
@@ -154,22 +157,30 @@ def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Se
     return place(left, keys, plan, spread).join(replicate(right, keys, plan), on, how).drop(TASK, SHARD)
 
 
-def per_key_results(df: DataFrame, keys: Sequence[str], item: str, matching: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+def key_items(df: DataFrame, keys: Sequence[str], item: str) -> DataFrame:
+    """(keys, __fs_item, __fs_n): distinct (key, item) pairs with their rows, combined map-side and kept in the shared folder.
+
+    Rows of one key are spread over all tasks by their items, so this needs no plan, and it is what is then placed.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.select(*keys, F.col(item).alias("__fs_item")).groupBy(*keys, "__fs_item").agg(F.count(F.lit(1)).alias("__fs_n")).checkpoint()
+
+
+def per_key_results(df: DataFrame, keys: Sequence[str], item: str, matching: DataFrame | Callable[[DataFrame], DataFrame] | None = None, tasks: int | None = None) -> DataFrame:
     """Rows and distinct non-null items per key: keys, columns of ``matching``, ``n_rows``, ``n_items``.
 
-    Repeated (key, item) rows are combined map-side first, so even a key made of copies shuffles little. ``matching`` has one row
-    for each key (keys it lacks get nulls). A null key is a group of its own. An empty table gives no rows.
+    ``df`` is read once: repeated (key, item) rows are combined map-side first, so even a key made of copies shuffles little, and the load is planned on the
+    pairs that are placed. ``matching`` has one row for each key (keys it lacks get nulls), or makes such rows from the pairs (keys, __fs_n rows). A null key
+    is a group of its own. An empty table gives no rows.
     """
     names = list(keys)
-    narrow = df.select(*names, F.col(item).alias("__fs_item"))
-    plan = plan_placement(narrow, names, tasks)
-    pairs = narrow.groupBy(*names, "__fs_item").agg(F.count(F.lit(1)).alias("__fs_n"))
+    pairs = key_items(df, names, item)
+    plan = plan_placement(pairs, names, tasks)
     placed = place(pairs, names, plan, ["__fs_item"])
-    partial = placed.groupBy(TASK, SHARD, *names).agg(
-        F.sum("__fs_n").alias("__fs_rows"), F.count("__fs_item").alias("__fs_items")
-    )
+    partial = placed.groupBy(TASK, SHARD, *names).agg(F.sum("__fs_n").alias("__fs_rows"), F.count("__fs_item").alias("__fs_items"))
     extra: list[str] = []
     if matching is not None:
+        matching = matching(pairs) if callable(matching) else matching
         extra = [c for c in matching.columns if c not in names]
         other = replicate(matching.select(*names, *extra), names, plan)
         cond = F.lit(True)

@@ -23,12 +23,14 @@ def _places(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_countries(spark: SparkSession, d: str) -> DataFrame:
     """Rows, distinct places and the table's rows for each table and country code."""
-    places = _places(spark, d)
-    keys = places.groupBy("table_name", "country_code").agg(F.count(F.lit(1)).alias("n"))
-    totals = keys.groupBy("table_name").agg(F.sum("n").alias("table_rows"))
-    # one row for each key: what a shard needs to know of its table
-    matching = keys.join(totals, "table_name").select("table_name", "country_code", "table_rows")
-    return skew.per_key_results(places, ["table_name", "country_code"], "geoname_id", matching).select(
+
+    def matching(pairs: DataFrame) -> DataFrame:
+        """One row for each key: what a shard needs to know of its table."""
+        keys = pairs.groupBy("table_name", "country_code").agg(F.sum("__fs_n").alias("n"))
+        totals = keys.groupBy("table_name").agg(F.sum("n").alias("table_rows"))
+        return keys.join(totals, "table_name").select("table_name", "country_code", "table_rows")
+
+    return skew.per_key_results(_places(spark, d), ["table_name", "country_code"], "geoname_id", matching).select(
         "table_name", "country_code", "n_rows", F.col("n_items").alias("n_places"), "table_rows"
     )
 
@@ -47,7 +49,9 @@ def p1_snapshot_places(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    refs = orphans.city_references(table(spark, d, "cities"))
+    ensure_checkpoint_dir(spark)
+    # read several times, and a few short columns each
+    refs = orphans.city_references(table(spark, d, "cities")).checkpoint()
     parents = None
     for name in ("admin1_codes", "admin2_codes"):
         lines = table(spark, d, name)
@@ -58,7 +62,7 @@ def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     refs, missing = _references(spark, d)
-    return orphans.orphan_rows(refs, missing).select("ref_table", orphans.period_of(F.col("ref_day")).alias("ref_period"), "geoname_id")
+    return orphans.orphan_rows(refs, missing, ["geoname_id"]).select("ref_table", orphans.period_of(F.col("ref_day")).alias("ref_period"), "geoname_id")
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
