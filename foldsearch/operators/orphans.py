@@ -5,7 +5,8 @@ Parents and children are put into one long table of tagged keys. Children are fi
 pass over each key in day order then tells, for each child day, whether any parent line is in force. Keys without
 parents are groups lacking the parent flag; what is left is summed per table and period.
 
-Rows of a hot key never meet in one task: what a key brings to its group is at most a row for each day that occurs.
+Rows of a hot key never meet in one task: what a key brings to its group is at most a row for each day that occurs, and where the references
+themselves are asked for, they meet their orphaned keys through the split join of problem 1.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldsearch.operators.skew import skew_join
+
 #: Day numbers beyond any date, for lines without a beginning or an end.
 _FIRST_DAY, _LAST_DAY = -10_000_000, 10_000_000
 
@@ -70,10 +73,14 @@ def orphan_report(orphans: DataFrame) -> DataFrame:
     )
 
 
-def orphan_rows(references: DataFrame, orphans: DataFrame) -> DataFrame:
-    """The references themselves (all their columns) whose table, key and day are orphaned."""
-    miss = orphans.select("ref_table", "ref_key", F.coalesce("ref_day", F.lit(_LAST_DAY + 1)).alias("__fs_day"))
-    return references.withColumn("__fs_day", F.coalesce("ref_day", F.lit(_LAST_DAY + 1))).join(miss, ["ref_table", "ref_key", "__fs_day"], "left_semi").drop("__fs_day")
+def orphan_rows(references: DataFrame, orphans: DataFrame, spread: list[str], tasks: int | None = None) -> DataFrame:
+    """The references themselves (all their columns) whose table, key and day are orphaned. ``spread`` are columns that tell the references of a key apart.
+
+    A key and day with more references than a task's share (the null day above all) is split over tasks.
+    """
+    day = F.coalesce("ref_day", F.lit(_LAST_DAY + 1)).alias("__fs_day")
+    miss = orphans.select("ref_table", "ref_key", day)
+    return skew_join(references.select("*", day), miss, ["ref_table", "ref_key", "__fs_day"], spread, "left_semi", tasks).drop("__fs_day")
 
 
 def current_rows(cities: DataFrame, columns: list[str]) -> DataFrame:
