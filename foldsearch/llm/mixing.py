@@ -9,7 +9,6 @@ The mix is as long as the scarcest source allows at its number of repetitions.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -20,9 +19,8 @@ from pyspark.sql import functions as F
 from foldsearch.operators.ordinals import running
 from foldsearch.runtime import small_table
 
-#: Slots of a schedule: blocks get longer rather than slots more.
-MOST_SLOTS = 1 << 20
-LEAST_BLOCK = 64
+#: Tokens of a block, unless the caller says otherwise: the mix is even down to a few blocks, and has as many slots as it has blocks.
+BLOCK_TOKENS = 512
 #: Texts of a source laid out in one task, on average.
 CHUNK_ROWS = 100_000
 #: Bits of a van der Corput point.
@@ -64,7 +62,7 @@ class Schedule:
     blocks: tuple[int, ...]  # slots of each source
 
 
-def plan_schedule(available: Mapping[str, int], targets: Mapping[str, Target]) -> Schedule:
+def plan_schedule(available: Mapping[str, int], targets: Mapping[str, Target], block: int = BLOCK_TOKENS) -> Schedule:
     """The longest schedule no source of which needs more than its tokens times its repetitions.
 
     Sources without tokens, a positive share or a repetition take no part; the others' shares are taken in proportion.
@@ -72,9 +70,8 @@ def plan_schedule(available: Mapping[str, int], targets: Mapping[str, Target]) -
     names = sorted(s for s, t in targets.items() if available.get(s, 0) > 0 and t.share > 0 and t.max_repeats >= 1)
     total = sum(targets[s].share for s in names)
     if not names:
-        return Schedule(0, LEAST_BLOCK, (), (), ())
+        return Schedule(0, block, (), (), ())
     most = min(available[s] * targets[s].max_repeats * total / targets[s].share for s in names)
-    block = max(LEAST_BLOCK, math.ceil(most / MOST_SLOTS))
     edges, run = [0], 0.0
     for s in names:
         run += targets[s].share / total
@@ -129,14 +126,15 @@ def blocks(counts: DataFrame, plan: Schedule, available: Mapping[str, int], seed
     return at.select("source", "doc_id", "n_tokens", "repeat_no", F.floor(position / plan.block).cast("long").alias("block_no"))
 
 
-def mix(counts: DataFrame, targets: Mapping[str, Target], seed: int = 11) -> tuple[DataFrame, Schedule]:
+def mix(counts: DataFrame, targets: Mapping[str, Target], seed: int = 11, block: int = BLOCK_TOKENS) -> tuple[DataFrame, Schedule]:
     """((slot_no, source, doc_id, n_tokens, repeat_no), schedule): the mixed texts in the order of their slots.
 
     ``counts`` has doc_id (unique), source, n_tokens. Null and unlisted sources are not drawn. The targets are held by the driver.
+    ``block`` is the tokens of a slot, whatever the size of the data; a source with fewer in all its repetitions ends the mix before it begins.
     """
     have = counts.where(F.col("source").isin(list(targets))).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect() if targets else []
     available = {r["source"]: int(r["n"] or 0) for r in have}
-    plan = plan_schedule(available, targets)
+    plan = plan_schedule(available, targets, block)
     turns = slots(counts.sparkSession, plan)
     if not plan.slots:
         empty = counts.select(F.lit(0).cast("long").alias("slot_no"), "source", "doc_id", "n_tokens", F.lit(0).alias("repeat_no")).where("false")
@@ -162,3 +160,10 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
         .join(got, "source", "left")
         .select("source", "target_share", "max_repeats", zero("n_docs"), zero("n_tokens"), zero("most_uses"), F.coalesce(F.col("n_tokens") / total, F.lit(0.0)).alias("actual_share"))
     )
+
+
+def check_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, n_over): for every listed source the documents used more often than it allows."""
+    limits = targets.groupBy("source").agg(F.max("max_repeats").alias("most"))  # a handful of rows
+    over = uses(mixed).join(limits, "source", "left").groupBy("source").agg(F.sum(F.when(F.col("n_uses") <= F.col("most"), 0).otherwise(1)).alias("n_over"))
+    return limits.select("source").join(over, "source", "full").select("source", F.coalesce("n_over", F.lit(0)).cast("long").alias("n_over"))

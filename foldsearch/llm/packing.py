@@ -2,7 +2,7 @@
 
 1. The global histogram of lengths (at most one row for each length up to the capacity) goes to the driver.
 2. Dynamic programming over it chooses the length buckets: a text counts as its bucket's upper bound, and the boundaries make the sum of this
-   padding, and of a small price for each bucket, as small as possible.
+   padding, and of a price for each bucket that is a small share of all tokens, as small as possible.
 3. Batches form inside each bucket, as many texts as the token budget holds; buckets are taken from the longest down, and room that the
    batches of longer buckets leave is given to the shorter ones first. This is planned for whole runs of equal containers at once, so the plan is
    small however many texts there are.
@@ -26,10 +26,8 @@ from pyspark.sql import functions as F
 from foldsearch.operators.ordinals import running
 from foldsearch.runtime import ship_package, small_table
 
-#: Price of a bucket in tokens: without it every length would be a bucket.
-BUCKET_COST = 8.0
-#: Lengths the programme chooses boundaries from; its work grows with their number.
-MOST_BOUNDS = 10_000_000
+#: Price of a bucket as a share of all tokens: without it every length would be a bucket, and with a fixed price nearly every one of much data.
+BUCKET_SHARE = 1e-6
 #: Texts of one bucket numbered in one task.
 CHUNK_ROWS = 100_000
 
@@ -45,10 +43,6 @@ def length_buckets(lengths: np.ndarray, counts: np.ndarray, bucket_cost: float)
     m = len(lengths)
     if m == 0:
         return np.zeros(0, np.int64)
-    if m > MOST_BOUNDS:  # capacities of many million tokens: boundaries among evenly chosen lengths only
-        picked = np.unique(lengths[np.linspace(0, m - 1, MOST_BOUNDS).round().astype(np.int64)])
-        counts = np.bincount(np.searchsorted(picked, lengths), weights=counts, minlength=len(picked))
-        lengths, m = picked, len(picked)
     price, unit = float(bucket_cost).as_integer_ratio()
     hull: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # texts up to i, best(i) + tokens up to i in units, i
     n = tokens = 0
@@ -82,8 +76,10 @@ class Plan:
     containers: int
 
 
-def plan_containers(lengths: np.ndarray, counts: np.ndarray, capacity: int, bucket_cost: float = BUCKET_COST) -> Plan:
-    """Plan for ``counts`` texts of each of ``lengths`` (1..capacity, ascending)."""
+def plan_containers(lengths: np.ndarray, counts: np.ndarray, capacity: int, bucket_cost: float | None = None) -> Plan:
+    """Plan for ``counts`` texts of each of ``lengths`` (1..capacity, ascending). A bucket costs BUCKET_SHARE of all tokens, if not given."""
+    if bucket_cost is None:
+        bucket_cost = BUCKET_SHARE * float((lengths.astype(float) * counts).sum())
     bounds = length_buckets(lengths, counts, bucket_cost)
     of = np.searchsorted(bounds, lengths)
     sizes = np.bincount(of, weights=counts, minlength=len(bounds)).astype(np.int64)
@@ -193,3 +189,12 @@ def fill_report(packed: DataFrame, capacities: dict[int, int]) -> DataFrame:
     return got.groupBy("pack_id").agg(
         F.count(F.lit(1)).alias("n_containers"), F.sum("t").alias("n_tokens"), F.sum("k").alias("n_parts"), F.max("t").alias("fullest"), (1 - F.sum("t") / F.sum(cap)).alias("unused_share")
     )
+
+
+def check_report(packed: DataFrame, capacities: dict[int, int]) -> DataFrame:
+    """(pack_id, n_docs, n_over, n_gaps): documents packed, containers over the capacity, documents whose parts don't follow one another from the first token."""
+    cap = F.element_at(F.create_map(*[F.lit(x) for kv in capacities.items() for x in kv]), F.col("pack_id"))
+    over = packed.groupBy("pack_id", "container_no").agg(F.sum("n_tokens").alias("t")).groupBy("pack_id").agg(F.sum(F.when(F.col("t") > cap, 1).otherwise(0)).alias("n_over"))
+    own = packed.groupBy("pack_id", "doc_id").agg(F.sum("n_tokens").alias("t"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"), F.count(F.lit(1)).alias("k"), F.max("part_no").alias("last"))
+    gaps = own.groupBy("pack_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.when((F.col("t") != F.col("end")) | (F.col("k") != F.col("last") + 1), 1).otherwise(0)).alias("n_gaps"))
+    return gaps.join(over, "pack_id").select("pack_id", "n_docs", "n_over", "n_gaps")

@@ -47,7 +47,13 @@ def top_n(df: DataFrame, groups: list[str], score: str, ties: list[str], n: int)
     ensure_checkpoint_dir(df.sparkSession)
     floors = group_thresholds(rows, groups, score, n).checkpoint()  # one narrow row for each group
     small, _ = bounded_broadcast(floors, BROADCAST_GROUPS)
-    met = rows.join(F.broadcast(floors), groups) if small else skew_join(rows, floors, groups, ties)
+    if small:
+        met = rows.join(F.broadcast(floors), groups)
+    else:
+        # equal rows become one with as many copies as can count, so that no value of the columns holds most rows of a group
+        few = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__fs_copies"))
+        met = skew_join(few, floors, groups, [c for c in rows.columns if c not in groups]).where(score_bin(F.col(score)) >= F.col("__fs_floor"))
+        met = met.withColumn("__fs_copy", F.explode(F.sequence(F.lit(1), F.least(F.col("__fs_copies"), F.lit(n)).cast("int")))).drop("__fs_copies", "__fs_copy")
     kept = met.where(score_bin(F.col(score)) >= F.col("__fs_floor")).drop("__fs_floor")
     order = Window.partitionBy(*groups).orderBy(F.col(score).desc(), *[F.col(t).asc() for t in ties])
     return kept.withColumn("rank_no", F.row_number().over(order)).where(F.col("rank_no") <= n)

@@ -19,6 +19,20 @@ def test_token_counts(spark):
     assert tokens.token_counts(df.limit(0), ["id"], "text").count() == 0
 
 
+def test_words_are_cut_as_the_pattern_says():
+    import regex
+
+    r, pattern = random.Random(3), regex.compile(tokens.PATTERN)
+    pool = [*"ab  \n\t\'\'\'stredlmv 12é٣²—.!? \u3000\x1c\x85界\xa0", "'s", "'re", "'ll ", "  ", "\n\n", " '", "'ve", "'D"]
+    texts = ["".join(r.choices(pool, k=r.randint(1, 14))) for _ in range(20_000)]
+    points, starts = tokens.laid_out(texts)
+    begin = tokens.words(points, starts)
+    whole, cuts = "".join(texts), iter(zip(begin, [*begin[1:], len(points)]))
+    assert [whole[a:b] for a, b in cuts] == [w for t in texts for w in pattern.findall(t)]
+    counter, enc = tokens.Counter(), tokens.encoding(tokens.VOCABULARY)
+    assert list(counter.count([*texts[:3000], None, ""])) == [len(enc.encode_ordinary(t)) for t in texts[:3000]] + [0, 0]
+
+
 def test_buckets_are_optimal():
     r = random.Random(1)
     for _ in range(30):
@@ -75,11 +89,14 @@ def test_pack_fills_equal_halves():
     assert plan.containers == 15
 
 
-def test_many_lengths_are_thinned(monkeypatch):
-    monkeypatch.setattr(packing, "MOST_BOUNDS", 20)
-    lengths = np.arange(1, 501)
-    plan = packing.plan_containers(lengths, np.ones(500, np.int64), 500, 0.0)
-    assert len(plan.bounds) <= 20 and plan.bounds[-1] == 500 and plan.containers >= 251
+def test_buckets_keep_their_meaning_as_data_grow():
+    """A hundred times the texts of each length: the same buckets, far fewer than lengths."""
+    lengths = np.arange(1, 5001)
+    counts = np.random.default_rng(2).integers(1, 40, 5000)
+    one, many = packing.plan_containers(lengths, counts, 8192), packing.plan_containers(lengths, counts * 100, 8192)
+    assert list(one.bounds) == list(many.bounds) and len(one.bounds) < 2500
+    least = -(-int((lengths * counts * 100).sum()) // 8192)
+    assert many.containers < 1.003 * least
 
 
 def test_many_lengths_stay_optimal():
@@ -109,7 +126,7 @@ def test_mix_reaches_shares(spark):
     r = random.Random(2)
     sizes = [("big", r.randint(0, 400)) for _ in range(900)] + [("mid", r.randint(1, 300)) for _ in range(200)] + [("small", r.randint(1, 200)) for _ in range(60)] + [(None, 50)] * 20 + [("unlisted", 9)] * 20
     targets = {"big": mixing.Target(0.5, 1), "mid": mixing.Target(0.3, 2), "small": mixing.Target(0.15, 4), "none": mixing.Target(0.05, 3)}
-    mixed, plan = mixing.mix(counts_of(spark, sizes), targets)
+    mixed, plan = mixing.mix(counts_of(spark, sizes), targets, block=64)
     used = {x["doc_id"]: x["n_uses"] for x in mixing.uses(mixed).collect()}
     total, by = 0, {}
     for i, k in used.items():
@@ -134,9 +151,9 @@ def test_mix_is_repeatable_and_spread(spark, monkeypatch):
     monkeypatch.setattr(mixing, "CHUNK_ROWS", 1)
     sizes = [("a", 10 + i % 7) for i in range(300)] + [("b", 20)] * 50
     targets = {"a": mixing.Target(0.5, 3), "b": mixing.Target(0.5, 3)}
-    one = sorted(tuple(x) for x in mixing.mix(counts_of(spark, sizes), targets)[0].collect())
+    one = sorted(tuple(x) for x in mixing.mix(counts_of(spark, sizes), targets, block=64)[0].collect())
     monkeypatch.setattr(mixing, "CHUNK_ROWS", 100_000)
-    assert one == sorted(tuple(x) for x in mixing.mix(counts_of(spark, sizes), targets)[0].collect())
+    assert one == sorted(tuple(x) for x in mixing.mix(counts_of(spark, sizes), targets, block=64)[0].collect())
 
 
 @pytest.mark.parametrize("targets", [{}, {"x": mixing.Target(1.0, 1)}, {"a": mixing.Target(0.0, 1)}, {"a": mixing.Target(1.0, 0)}])
