@@ -14,7 +14,9 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -24,13 +26,16 @@ from foldsearch.runtime import ship_package
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
 #: Ranges of <compat> characters that do: micro sign, Latin digraphs, spaces, leaders, roman numerals, radicals, ligatures.
 SAME_LOOK_COMPAT = ((0xB5, 0xB5), (0x132, 0x133), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0x2000, 0x200A), (0x2024, 0x2026), (0x205F, 0x205F), (0x2160, 0x217F), (0x2E9F, 0x2FD5), (0xFB00, 0xFB4F))
-#: Look-alike letters and, below each, the Latin letter.
+#: Look-alike letters and, beside them, the Latin letter whose upright form they share. Unicode's names and decompositions don't tell looks, so these are
+#: listed: Cyrillic, Greek, Cherokee, Armenian and Latin letters of other names. Letters that differ slightly (к and k, ı and i) are left apart.
 CYRILLIC, CYRILLIC_AS = "АВЕЅІЈКМНОРСТУХҮӀԚԜаесһіјорѕухԁԛԝӏ", "ABESIJKMHOPCTYXYIQWaechijopsyxdqwl"
-GREEK, GREEK_AS = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹοϲϳ", "ABEZHIKMNOPTYXCocj"
+GREEK, GREEK_AS = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹοϲϳνρ", "ABEZHIKMNOPTYXCocjvp"
+CHEROKEE, CHEROKEE_AS = "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃᎩ", "ABCDEGHJKLMPRSTVWZY"
+ARMENIAN, ARMENIAN_AS = "օոսցհՕՍՏԼզյ", "onughOUSLqj"
 #: Signs and letters elsewhere that look the same.
-OTHER, OTHER_AS = "‐﹣ʼɡÐƉ", "--’gĐĐ"
-#: Combining classes of viramas are 9; the joiners after them are seen.
-ZWNJ, ZWJ, KEPT_ZWNJ, KEPT_ZWJ = "‌", "‍", "", ""
+OTHER, OTHER_AS = "‐﹣ʼɡɑÐƉ", "--’gaĐĐ"
+#: Combining classes of viramas are 9; a joiner after one is seen.
+JOINERS = r"[\x{200C}\x{200D}]"
 INVISIBLE = r"[\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{E0100}-\x{E01EF}]"
 
 
@@ -57,7 +62,7 @@ def tables() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
             one[ch] = " "
         elif (out := _plain(ch)) != ch:
             (one if len(out) == 1 else many)[ch] = out
-    alike = dict(zip(CYRILLIC + GREEK + OTHER, CYRILLIC_AS + GREEK_AS + OTHER_AS))
+    alike = dict(zip(CYRILLIC + GREEK + CHEROKEE + ARMENIAN + OTHER, CYRILLIC_AS + GREEK_AS + CHEROKEE_AS + ARMENIAN_AS + OTHER_AS))
     for c in range(0xC0, 0x2000):  # accented ones, by their base letter
         parts = unicodedata.normalize("NFD", chr(c))
         if len(parts) > 1 and parts[0] in alike:
@@ -88,18 +93,15 @@ def form_sql(present: set[str], source: str = "batch") -> str:
     for ch in sorted(many.keys() & present):
         spread = f"replace({spread}, {_quoted(ch)}, {_quoted(many[ch])})"
     spread = _translated(spread, one, present)
-    joined = "t"
-    if present & {ZWNJ, ZWJ}:
-        v = _viramas()
-        joined = f"regexp_replace(regexp_replace({joined}, '([{v}]){ZWNJ}', '\\1{KEPT_ZWNJ}', 'g'), '([{v}]){ZWJ}', '\\1{KEPT_ZWJ}', 'g')"
-    hidden = f"nfc_normalize(regexp_replace({joined}, '{INVISIBLE}', '', 'g'))"
+    # a joiner after a virama is put back with it, anything else invisible goes
+    hidden = f"nfc_normalize(regexp_replace(t, '([{_viramas()}])({JOINERS})|{INVISIBLE}', '\\1\\2', 'g'))"
     # accents may only now have met their letters, so the look-alikes aren't limited to what was present
     latin = f"translate(t, {_quoted(''.join(alike))}, {_quoted(''.join(alike.values()))})" if present & _alike_bases() else "t"
     return f"""
         with spread as (select i, {spread} as t from {source}),
              seen as (select i, {hidden} as t from spread),
              latin as (select i, nfc_normalize({latin}) as t from seen)
-        select translate(regexp_replace(t, '^\\s+|\\s+$', '', 'g'), '{KEPT_ZWNJ}{KEPT_ZWJ}', '{ZWNJ}{ZWJ}') as t
+        select regexp_replace(t, '^\\s+|\\s+$', '', 'g') as t
         from latin order by i
     """
 
@@ -121,16 +123,21 @@ def connect():
 
 
 def forms(con, texts: pa.Array) -> pa.Array:
-    """The form of each text; null stays null."""
-    if len(texts) == 0:
-        return pa.array([], pa.string())
-    con.register("batch", pa.table({"i": pa.array(range(len(texts)), pa.int64()), "t": texts.cast(pa.string())}))
-    present = set().union(*(x for x in texts.to_pylist() if x))
-    if all(c < "\x7f" and c >= " " for c in present):  # ASCII has one form, but for outer spaces
-        got = con.sql("select regexp_replace(t, '^\\s+|\\s+$', '', 'g') as t from batch order by i").to_arrow_table()
-    else:
-        got = con.sql(form_sql(present)).to_arrow_table()
-    return got.column("t").combine_chunks()
+    """The form of each text; null stays null. Texts of visible ASCII and blanks have one form but for outer blanks; equal ones of the others are formed once."""
+    texts = texts.cast(pa.string())
+    other = pc.fill_null(pc.match_substring_regex(texts, "[^ -~]"), False)
+    plain = pc.ascii_trim(texts, " ")
+    if not pc.any(other).as_py():
+        return plain
+    coded = texts.filter(other).dictionary_encode()
+    distinct = coded.dictionary
+    seen = np.zeros(0x110000, bool)
+    seen[np.frombuffer("".join(distinct.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)] = True
+    present = {chr(c) for c in np.flatnonzero(seen)}
+    con.register("batch", pa.table({"i": pa.array(np.arange(len(distinct))), "t": distinct}))
+    got = con.sql(form_sql(present)).to_arrow_table().column("t").combine_chunks()
+    got = got if isinstance(got, pa.Array) else pa.concat_arrays(got.chunks)
+    return pc.replace_with_mask(plain, other, got.cast(pa.string()).take(coded.indices))
 
 
 def with_form(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -145,8 +152,6 @@ def with_form(df: DataFrame, column: str, out: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con = connect()
         for b in batches:
-            got = forms(con, b.column(at))
-            got = got if isinstance(got, pa.Array) else pa.concat_arrays(got.chunks)
-            yield pa.RecordBatch.from_arrays([*b.columns, got.cast(pa.string())], names=[*b.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*b.columns, forms(con, b.column(at))], names=[*b.schema.names, out])
 
     return rest.mapInArrow(run, schema)

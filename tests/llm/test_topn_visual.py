@@ -37,6 +37,14 @@ def test_top_n_of_ties_repeats_and_nothing(spark):
     assert topn.top_n(df, ["g"], "s", ["t"], 0).count() == 0 and topn.top_n(df.limit(0), ["g"], "s", ["t"], 3).count() == 0
 
 
+def test_top_n_of_equal_rows_without_ties(spark, monkeypatch):
+    """A hot group of equal rows and no tie columns, on the way that splits groups."""
+    monkeypatch.setattr(topn, "BROADCAST_GROUPS", 1)
+    df = spark.createDataFrame([("hot", 7)] * 900 + [("hot", 9), ("a", 1), ("a", 1)], "g string, s int")
+    got = sorted(tuple(x) for x in topn.top_n(df, ["g"], "s", [], 4).collect())
+    assert got == [("a", 1, 1), ("a", 1, 2), ("hot", 7, 2), ("hot", 7, 3), ("hot", 7, 4), ("hot", 9, 1)]
+
+
 def test_bins_keep_the_order(spark):
     r = random.Random(0)
     values = sorted([0.0, -0.0, 1e-300, -1e-300, 1e300, -1e300, *(r.uniform(-1e6, 1e6) for _ in range(500)), *(float(i) for i in range(-50, 50)), 2.0**62])
