@@ -35,16 +35,21 @@ def other_items(c: Column) -> Column:
     return F.filter(c, lambda x: ~is_ascii(x))
 
 
-def int_or_zero(c: Column) -> Column:
-    return F.coalesce(c.try_cast("bigint"), F.lit(0).cast("long"))
+def int_or_null(c: Column) -> Column:
+    """A sign and digits, nothing else (no blanks); null if it isn't that or doesn't fit."""
+    return F.when(c.rlike(r"^[+-]?[0-9]+$"), c.try_cast("bigint"))
 
 
-def int_or_null(c: Column) -> Column:
-    return c.try_cast("bigint")
+def int_or_zero(c: Column) -> Column:
+    return F.coalesce(int_or_null(c), F.lit(0).cast("long"))
 
 
 def double_or_zero(c: Column) -> Column:
-    return F.coalesce(c.try_cast("double"), F.lit(0.0))
+    """A decimal number, perhaps with an exponent, a hexadecimal whole number, nan or infinity; anything else is 0 (blanks around it, letters of a type after it, words)."""
+    plain = F.when(c.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"), c.try_cast("double"))
+    hexadecimal = F.when(c.rlike(r"^0[xX][0-9a-fA-F]{1,12}$"), F.conv(F.substring(c, 3, 12), 16, 10).cast("double"))
+    named = F.when(c.rlike(r"^(?i)[+-]?(nan|inf|infinity)$"), c.try_cast("double"))
+    return F.coalesce(plain, hexadecimal, named, F.lit(0.0))
 
 
 def date_or_null(c: Column) -> Column:

@@ -110,12 +110,3 @@ def fold_table(spark, present: set[str] | None = None) -> DataFrame:
 
     t = {c: f for c, f in table().items() if present is None or c in present}
     return small_table(spark, {"scalar": pa.array([ord(c) for c in t], pa.int32()), "folded": pa.array(list(t.values()), pa.string())})
-
-
-def sql_fold(expr: str, joiner: str = "") -> str:
-    """The same fold in SQL, for comparisons with another engine."""
-    q = lambda s: "'" + s.replace("'", "''") + "'"
-    for k, v in expansions().items():
-        expr = f"replace({expr}, {q(k)}, {q(joiner.join(v))})"
-    src, dst = _one_to_one()
-    return f"translate({expr}, {q(src)}, {q(dst)})"
