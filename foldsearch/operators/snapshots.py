@@ -1,44 +1,41 @@
 """What changed between full snapshots: Merkle trees over hash ranges of the keys.
 
-A key's 32-bit hash puts it into a leaf, a range of hashes. Each snapshot's leaf has a digest, an order-free sum of
-64-bit row hashes with the row count; each inner node's digest is made of its children's. Two snapshots are compared from the root
-down, and only children of differing nodes are looked at. Rows are then compared only in leaves whose digests differ.
+A key's hash puts it into a leaf, a range of hashes. For each pair of neighbouring snapshots a leaf has two digests, the exclusive or of the 64-bit hashes of
+its rows (which are unique by key); an inner node's digests are made of its children's. The pairs of digests are compared from the root down, and only
+children of differing nodes are looked at. Rows are then compared only in leaves that differ.
 
-The rows are brought to their leaf once; leaf digests, the comparison of a leaf's rows and the join with the differing leaves all
-use that partitioning. The digests of a leaf are one row, however many keys it holds.
+The rows are brought to their leaf once, and nothing else of their size is shuffled: rows overtaken within a snapshot are told, digests made and rows compared on
+that one partitioning. Where a hash bucket holds more than a task's share of the rows (a key delivered over and over), its rows are first
+combined map-side. How many keys a leaf holds follows from the share of keys that change, observed in one of OBSERVED hash ranges.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldsearch.runtime import shuffle_tasks
 
 #: Children of an inner node, as bits of the hash.
-FANOUT_BITS = 4
-
+FANOUT_BITS = 8
+#: Hash buckets whose rows are counted to find keys with very many of them.
+BUCKETS = 4096
+#: The change rate is observed in one hash range of so many.
+OBSERVED = 256
+#: What a leaf's digest (shuffled) costs, in compared rows (not shuffled).
+DIGEST_COST = 4.0
 
-def leaf_bits(rows: int, keys_per_leaf: int = 16) -> int:
-    """Depth of the tree in bits so that a leaf holds about ``keys_per_leaf`` keys; a multiple of the fan-out."""
-    bits = max(1, rows // max(1, keys_per_leaf)).bit_length()
-    return min(28, max(FANOUT_BITS, -(-bits // FANOUT_BITS) * FANOUT_BITS))
 
+def leaf_bits(keys: int, keys_per_leaf: int) -> int:
+    """Depth of the tree in bits so that a leaf holds about ``keys_per_leaf`` keys."""
+    return min(30, max(1, (max(1, keys) // max(1, keys_per_leaf)).bit_length()))
 
-def effective_rows(snapshots: DataFrame, snapshot: str, key: str, order: list[str], values: list[str]) -> DataFrame:
-    """The row that counts for each snapshot and key: the highest ``order``, nulls lowest; equal orders go to the larger values.
 
-    Columns: snap, key, v (struct of the values). Null keys and null snapshots are left out. Combined map-side, so repeated deliveries
-    of one key shuffle little.
-    """
-    best = F.max(F.struct(*[F.col(o) for o in order], F.struct(*[F.col(c) for c in values]).alias("__fs_v"))).alias("r")
-    return (
-        snapshots.where(F.col(key).isNotNull() & F.col(snapshot).isNotNull())
-        .select(F.col(snapshot).alias("snap"), F.col(key).alias("key"), *dict.fromkeys([*order, *values]))
-        .groupBy("snap", "key")
-        .agg(best)
-        .select("snap", "key", F.col("r.__fs_v").alias("v"))
-    )
+def keys_for_rate(rate: float) -> int:
+    """Keys in a leaf so that compared rows and digests cost least: a leaf of k keys differs in about k * rate of the pairs and costs a digest for every k keys."""
+    return max(1, min(64, round(math.sqrt(DIGEST_COST / max(rate, 1e-6)))))
 
 
 def leaf_of(key: Column, bits: int) -> Column:
@@ -54,71 +51,77 @@ def row_digest(key: Column, values: list[Column]) -> Column:
     return F.xxhash64(*parts)
 
 
+def _narrow(snapshots: DataFrame, snapshot: str, key: str, order: list[str], values: list[str]) -> DataFrame:
+    """(snap, key, o0.., v0..) without null snapshots and keys."""
+    cols = [F.col(c).alias(f"o{i}") for i, c in enumerate(order)] + [F.col(c).alias(f"v{i}") for i, c in enumerate(values)]
+    return snapshots.where(F.col(key).isNotNull() & F.col(snapshot).isNotNull()).select(F.col(snapshot).alias("snap"), F.col(key).alias("key"), *cols)
+
+
+def _counting(rows: DataFrame, by: list[str], outs: list[str]) -> DataFrame:
+    """The row that counts of each group of ``by``: highest order, nulls lowest, equal orders by the larger values. Keeps the partitioning of ``rows``."""
+    first = Window.partitionBy(*by).orderBy(*[F.col(c).desc_nulls_last() for c in outs])
+    return rows.withColumn("__fs_n", F.row_number().over(first)).where("__fs_n = 1").drop("__fs_n")
+
+
+def _combined(rows: DataFrame, outs: list[str]) -> DataFrame:
+    """The same, combined map-side: for keys with very many rows."""
+    best = rows.groupBy("snap", "key").agg(F.max(F.struct(*outs)).alias("r"))
+    return best.select("snap", "key", *[F.col(f"r.{c}").alias(c) for c in outs])
+
+
+def effective_rows(snapshots: DataFrame, snapshot: str, key: str, order: list[str], values: list[str]) -> DataFrame:
+    """(snap, key, v): the row that counts for each snapshot and key, v a struct of the values.
+
+    The highest ``order`` counts, nulls lowest; equal orders go to the larger values. Null keys and null snapshots are left out.
+    """
+    outs = [f"o{i}" for i in range(len(order))] + [f"v{i}" for i in range(len(values))]
+    rows = _combined(_narrow(snapshots, snapshot, key, order, values), outs)
+    return rows.select("snap", "key", F.struct(*[F.col(f"v{i}").alias(c) for i, c in enumerate(values)]).alias("v"))
+
+
 def leaf_digests(rows: DataFrame) -> DataFrame:
-    """(leaf, digests: map of snapshot order -> digest) from rows with leaf, idx, digest."""
-    per = rows.groupBy("leaf", "idx").agg(
-        # sums of halves never overflow below 2**31 rows a leaf
-        F.sum(F.col("digest").bitwiseAND(0xFFFFFFFF)).alias("lo"),
-        F.sum(F.shiftrightunsigned("digest", 32)).alias("hi"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    return per.select("leaf", "idx", F.xxhash64("lo", "hi", "n").alias("digest"))
+    """(leaf, idx, digest) from rows with leaf, idx, digest: each snapshot's digest of a leaf, which can be kept for the next delivery."""
+    return rows.groupBy("leaf", "idx").agg(F.bit_xor("digest").alias("digest"))
 
 
-def differing_leaves(leaves: DataFrame, bits: int, last_idx: int) -> DataFrame:
+def differing_leaves(leaves: DataFrame, bits: int, last_idx: int, tasks: int) -> DataFrame:
     """(leaf, pairs): the pairs of neighbouring snapshots, named by the later one's order, for which the leaf differs.
 
-    ``leaves`` has one digest for each leaf and snapshot that has rows. Goes from the root down: level by level, nodes are kept only under parents
-    that differ in some pair, and a pair only where the parent differs in it.
+    ``leaves`` as of :func:`leaf_digests`; a leaf without rows in a snapshot has digest 0. Goes from the root down: level by level, a node's pair is looked
+    at only where the parent differs in it.
     """
-    # one row for each node: the digests in snapshot order; a node without rows in a snapshot has none
-    per_leaf = leaves.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("idx", "digest"))).alias("m"))
-    digests = F.transform(F.sequence(F.lit(0), F.lit(last_idx)), lambda i: F.coalesce(F.element_at(F.col("m"), i), F.lit(0).cast("long")))
-    level = per_leaf.select(F.col("leaf").alias("node"), digests.alias("d"))
-    levels = [level]
-    for _ in range(bits // FANOUT_BITS):
-        child = levels[-1]
-        wide = child.select(F.shiftright("node", FANOUT_BITS).alias("node"), F.posexplode("d").alias("i", "h"), F.col("node").alias("c"))
-        summed = wide.groupBy("node", "i").agg(F.sum(F.xxhash64("c", "h").bitwiseAND(0x7FFFFFFFFFFF)).alias("h"))
-        level = summed.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]).alias("d"))
+    # a digest is the later one of its own pair and the earlier one of the next
+    none = F.lit(0).cast("long")
+    as_later = F.struct(F.col("idx").alias("pair"), F.col("digest").alias("later"), none.alias("earlier"))
+    as_earlier = F.struct((F.col("idx") + 1).alias("pair"), none.alias("later"), F.col("digest").alias("earlier"))
+    both = leaves.select(F.col("leaf").alias("node"), F.inline(F.array(as_later, as_earlier))).where((F.col("pair") > 0) & (F.col("pair") <= last_idx))
+    level = both.groupBy("node", "pair").agg(F.bit_xor("later").alias("later"), F.bit_xor("earlier").alias("earlier"))
+    steps = [min(FANOUT_BITS, bits - at) for at in range(0, bits, FANOUT_BITS)]
+    levels = []
+    for step in steps:
+        # brought to the parent once, both to make the parents' digests and to be looked at under differing parents
+        level = level.withColumn("up", F.shiftright("node", step)).repartition(tasks, "up")
         levels.append(level)
-    differ = F.filter(F.sequence(F.lit(1), F.lit(last_idx)), lambda i: F.element_at("d", i) != F.element_at("d", i + 1))
-    found = levels[-1].select("node", differ.alias("pairs")).where(F.size("pairs") > 0)
-    for child in reversed(levels[:-1]):
-        under = child.withColumn("__fs_up", F.shiftright("node", FANOUT_BITS)).join(found.select(F.col("node").alias("__fs_up"), F.col("pairs").alias("__fs_pairs")), "__fs_up")
-        here = F.filter("__fs_pairs", lambda i: F.element_at("d", i) != F.element_at("d", i + 1))
-        found = under.select("node", here.alias("pairs")).where(F.size("pairs") > 0)
+        # a child's digest with its number, so that equal digests of two children don't cancel
+        mixed = lambda c: F.when(F.col(c) == 0, none).otherwise(F.xxhash64("node", c)).alias(c)
+        up = level.select("up", "pair", mixed("later"), mixed("earlier")).groupBy("up", "pair").agg(F.bit_xor("later").alias("later"), F.bit_xor("earlier").alias("earlier"))
+        level = up.withColumnRenamed("up", "node")
+    differ = F.col("later") != F.col("earlier")
+    pairs_of = lambda nodes: nodes.groupBy("node").agg(F.collect_set("pair").alias("pairs"))
+    found = pairs_of(level.where(differ))
+    for child in reversed(levels):
+        under = child.where(differ).join(found.select(F.col("node").alias("up"), "pairs"), "up").where(F.array_contains("pairs", F.col("pair")))
+        found = pairs_of(under.select("node", "pair"))
     return found.select(F.col("node").alias("leaf"), "pairs")
 
 
-def snapshot_changes(snapshots: DataFrame, snapshot: str, key: str, order: list[str], values: list[str], keep: Column | None = None, keys_per_leaf: int = 16) -> DataFrame:
-    """(snap, key, change_kind): added, removed or changed keys of each snapshot against its predecessor.
-
-    Predecessors are taken among all snapshot numbers that occur, also in rows that ``keep`` leaves out. Nothing is reported for the first
-    snapshot; one snapshot or an empty table gives no rows. A null in a value is a value of its own. Repeated and overtaken rows count
-    once, see :func:`effective_rows`. The list of snapshot numbers (not of keys) is brought to the driver.
-    """
-    counts = {r[0]: r[1] for r in snapshots.where(F.col(snapshot).isNotNull()).groupBy(snapshot).count().collect()}
-    numbers = sorted(counts)
-    if len(numbers) < 2:
-        return snapshots.select(F.col(snapshot).alias("snap"), F.col(key).alias("key"), F.lit("").alias("change_kind")).where("false")
-    last = len(numbers) - 1
-    bits = leaf_bits(max(counts.values()), keys_per_leaf)
-    order_of = (F.array_position(F.lit(numbers), F.col("snap")) - 1).cast("int")
-    kept = snapshots if keep is None else snapshots.where(keep)
-    vs = [f"v{i}" for i in range(len(values))]
-    rows = effective_rows(kept, snapshot, key, order, values).select(
-        leaf_of(F.col("key"), bits).alias("leaf"), order_of.alias("idx"), "key", *[F.col(f"v.{c}").alias(v) for v, c in zip(vs, values)]
-    )
-    # Both uses read the same columns, so that Spark makes this exchange once
-    rows = rows.repartition(shuffle_tasks(snapshots.sparkSession), "leaf")
-    hashed = rows.select("leaf", "idx", row_digest(F.col("key"), [F.col(v) for v in vs]).alias("digest"))
-    seen = rows.join(differing_leaves(leaf_digests(hashed), bits, last), "leaf")
-    of_key = Window.partitionBy("leaf", "key").orderBy("idx")
+def _told(rows: DataFrame, by: list[str], n_values: int, last: int) -> DataFrame:
+    """(key, idx, came, left, and ``pairs`` if there) from the counting rows of each key in snapshot order: what its snapshot and the next one report."""
+    vs = [f"v{i}" for i in range(n_values)]
+    of_key = Window.partitionBy(*by).orderBy("idx")
     now = F.struct(*vs)
-    near = seen.select(
-        "key", "idx", "pairs", now.alias("now"), F.lag("idx").over(of_key).alias("p_idx"), F.lag(now).over(of_key).alias("was"), F.lead("idx").over(of_key).alias("n_idx")
-    )
+    extra = [c for c in ("pairs",) if c in rows.columns]
+    near = rows.select("key", "idx", *extra, now.alias("now"), F.lag("idx").over(of_key).alias("p_idx"), F.lag(now).over(of_key).alias("was"), F.lead("idx").over(of_key).alias("n_idx"))
     before = F.coalesce(F.col("p_idx") == F.col("idx") - 1, F.lit(False))
     after = F.coalesce(F.col("n_idx") == F.col("idx") + 1, F.lit(False))
     same = F.lit(True)
@@ -126,7 +129,59 @@ def snapshot_changes(snapshots: DataFrame, snapshot: str, key: str, order: list[
         same = same & F.col(f"now.{v}").eqNullSafe(F.col(f"was.{v}"))
     came = F.when((F.col("idx") > 0) & ~before, "added").when(before & ~same, "changed")
     left = F.when((F.col("idx") < last) & ~after, "removed")
-    events = near.select("key", "pairs", F.inline(F.array(F.struct(F.col("idx").alias("at"), came.alias("change_kind")), F.struct((F.col("idx") + 1).alias("at"), left.alias("change_kind")))))
-    return events.where(F.col("change_kind").isNotNull() & F.array_contains("pairs", F.col("at"))).select(
-        F.element_at(F.lit(numbers), F.col("at") + 1).alias("snap"), "key", "change_kind"
+    return near.select("key", "idx", *extra, came.alias("came"), left.alias("left"))
+
+
+def observed_rate(rows: DataFrame, outs: list[str], n_values: int, last: int) -> float:
+    """Share of the keys of a snapshot that change from one to the next, in one hash range of OBSERVED; only sizes the leaves."""
+    part = rows.where(F.shiftrightunsigned(F.xxhash64("key"), 64 - (OBSERVED - 1).bit_length()) == 0)
+    part = _combined(part.withColumnRenamed("idx", "snap"), outs).withColumnRenamed("snap", "idx")
+    one = lambda c: F.when(F.col(c).isNotNull(), 1).otherwise(0)
+    got = _told(part, ["key"], n_values, last).agg(F.count(F.lit(1)).alias("n"), F.sum(one("came") + one("left")).alias("e")).first()
+    return got["e"] / got["n"] if got["n"] else 0.05
+
+
+def snapshot_changes(snapshots: DataFrame, snapshot: str, key: str, order: list[str], values: list[str], keep: Column | None = None, keys_per_leaf: int | None = None) -> DataFrame:
+    """(snap, key, change_kind): added, removed or changed keys of each snapshot against its predecessor.
+
+    Predecessors are taken among all snapshot numbers that occur, also in rows that ``keep`` leaves out. Nothing is reported for the first
+    snapshot; one snapshot or an empty table gives no rows. A null in a value is a value of its own. Repeated and overtaken rows count
+    once, see :func:`effective_rows`. The list of snapshot numbers and the counts of BUCKETS hash buckets (not of keys) are brought to the driver.
+    """
+    spark = snapshots.sparkSession
+    tasks = shuffle_tasks(spark)
+    kept = keep if keep is not None else F.lit(True)
+    of_bucket = F.pmod(F.xxhash64(F.col(key), F.lit("bucket")), F.lit(BUCKETS)).cast("int")
+    counts = (
+        snapshots.where(F.col(snapshot).isNotNull())
+        .groupBy(F.col(snapshot).alias("s"), F.when(F.coalesce(kept, F.lit(False)) & F.col(key).isNotNull(), of_bucket).alias("b"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
+    by_bucket = counts.groupBy("b").agg(F.sum("n").alias("n"), F.collect_set("s").alias("s"), F.max("n").alias("most")).collect()  # at most BUCKETS + 1 rows
+    numbers = sorted({s for r in by_bucket for s in r["s"]})
+    if len(numbers) < 2:
+        return snapshots.select(F.col(snapshot).alias("snap"), F.col(key).alias("key"), F.lit("").alias("change_kind")).where("false")
+    last = len(numbers) - 1
+    sizes = {r["b"]: r["n"] for r in by_bucket if r["b"] is not None}
+    crowded = sorted(b for b, n in sizes.items() if n > max(sum(sizes.values()) / tasks, 4 * sum(sizes.values()) / BUCKETS))
+    outs = [f"o{i}" for i in range(len(order))] + [f"v{i}" for i in range(len(values))]
+    idx = (F.array_position(F.lit(numbers), F.col("snap")) - 1).cast("int").alias("idx")
+    narrow = _narrow(snapshots if keep is None else snapshots.where(keep), snapshot, key, order, values)
+    if crowded:  # at most as many buckets as tasks
+        at = F.pmod(F.xxhash64(F.col("key"), F.lit("bucket")), F.lit(BUCKETS)).cast("int").isin(crowded)
+        narrow = narrow.where(~at).unionAll(_combined(narrow.where(at), outs))
+    narrow = narrow.select(idx, "key", *outs)
+    if keys_per_leaf is None:
+        keys_per_leaf = keys_for_rate(observed_rate(narrow, outs, len(values), last))
+    bits = leaf_bits(sum(r["most"] for r in by_bucket if r["b"] is not None), keys_per_leaf)
+    # both uses read the same columns, so that Spark makes this exchange once
+    rows = narrow.withColumn("leaf", leaf_of(F.col("key"), bits)).repartition(tasks, "leaf")
+    by = ["leaf", "key", "idx"]
+    digest = row_digest(F.col("key"), [F.col(f"v{i}") for i in range(len(values))])
+    found = differing_leaves(leaf_digests(_counting(rows, by, outs).select("leaf", "idx", digest.alias("digest"))), bits, last, tasks)
+    needed = F.array_contains("pairs", F.col("idx")) | F.array_contains("pairs", F.col("idx") + 1)
+    seen = _counting(rows.join(found.hint("shuffle_hash"), "leaf").where(needed), by, outs)
+    told = _told(seen, ["leaf", "key"], len(values), last)
+    both = F.array(F.struct(F.col("idx").alias("at"), F.col("came").alias("change_kind")), F.struct((F.col("idx") + 1).alias("at"), F.col("left").alias("change_kind")))
+    events = told.select("key", "pairs", F.inline(both)).where(F.col("change_kind").isNotNull() & F.array_contains("pairs", F.col("at")))
+    return events.select(F.element_at(F.lit(numbers), F.col("at") + 1).alias("snap"), "key", "change_kind")

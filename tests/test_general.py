@@ -89,7 +89,7 @@ def test_orphans_against_brute_force(spark):
         return not any((x[1] is None or x[1] <= d) and (x[2] is None or d < x[2]) for x in own)
 
     missing = orphans.orphan_keys(parents_of(spark, lines), refs)
-    got = {r["id"] for r in orphans.orphan_rows(refs, missing).collect()}
+    got = {r["id"] for r in orphans.orphan_rows(refs, missing, ["id"]).collect()}
     assert got == {i for i, (k, d) in enumerate(children) if k is not None and orphan(k, d)}
     report = orphans.orphan_report(missing)
     assert sum(r["n_orphans"] for r in report.collect()) == len(got)
@@ -98,11 +98,25 @@ def test_orphans_against_brute_force(spark):
 def test_orphans_empty_sides(spark):
     refs = spark.createDataFrame([(1, "t", "x", None)], "id int, ref_table string, ref_key string, ref_day int")
     none = parents_of(spark, [])
-    assert orphans.orphan_rows(refs, orphans.orphan_keys(none, refs)).count() == 1
+    assert orphans.orphan_rows(refs, orphans.orphan_keys(none, refs), ["id"]).count() == 1
     assert orphans.orphan_keys(parents_of(spark, [("x", None, None, 0)]), refs).count() == 0
     assert orphans.orphan_keys(none, refs.limit(0)).count() == 0
 
 
+def test_orphan_rows_of_a_hot_key_are_spread(spark):
+    """One key and null day holds nine tenths of the references: the largest task stays under twice the mean."""
+    n, tasks = 20_000, 8
+    key = F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 997))
+    refs = spark.range(n).select("id", F.lit("t").alias("ref_table"), key.alias("ref_key"), F.lit(None).cast("int").alias("ref_day"))
+    missing = orphans.orphan_keys(parents_of(spark, [("k0", None, None, 0)]), refs)
+    got = orphans.orphan_rows(refs, missing, ["id"], tasks)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == refs.where("ref_key <> 'k0'").count()
+    plan = skew.plan_placement(refs, ["ref_table", "ref_key", "ref_day"], tasks)
+    placed = skew.place(refs, ["ref_table", "ref_key", "ref_day"], plan, ["id"]).groupBy(skew.TASK).count().collect()
+    assert max(r["count"] for r in placed) < 2 * n / tasks
+
+
 def test_current_rows(spark):
     df = spark.createDataFrame([(1, "a", 3), (1, "b", 5), (0, "c", 9), (None, "d", 1), (2, None, None), (1, "z", 5)], "geoname_id long, name string, source_line long")
     assert rows(orphans.current_rows(df, ["name"])) == sorted([(1, "z"), (2, None)], key=repr)
@@ -160,6 +174,26 @@ def test_snapshots_of_skipped_rows_still_count(spark):
     assert changes(df, keep=F.col("key") != 0) == [(2, 5, "removed"), (3, 5, "added")]
 
 
+def test_keys_delivered_over_and_over(spark):
+    """A third of all rows are copies of one key: combined before they are brought to its leaf."""
+    r = random.Random(4)
+    data = [(s, datetime.datetime(2024, 1, 1), i, k, r.choice([1, 2]), None, 0, "") for s in (1, 2, 3) for i, k in enumerate([*range(1, 60), *[7] * 4000])]
+    assert changes(spark.createDataFrame(data, SNAP)) == brute_changes(data)
+
+
+def test_few_changes_compare_few_rows(spark):
+    """With one key in a thousand changed, under a tenth of the rows are in differing leaves."""
+    n = 40_000
+    df = spark.range(2 * n).select((F.col("id") % 2).cast("int").alias("idx"), F.expr("id div 2").alias("key"))
+    df = df.withColumn("v0", F.when((F.col("idx") == 1) & (F.col("key") % 1000 == 3), 1).otherwise(0))
+    bits = snapshots.leaf_bits(n, snapshots.keys_for_rate(0.001))
+    leaf = df.withColumn("leaf", snapshots.leaf_of(F.col("key"), bits))
+    digests = snapshots.leaf_digests(leaf.select("leaf", "idx", snapshots.row_digest(F.col("key"), [F.col("v0")]).alias("digest")))
+    found = snapshots.differing_leaves(digests, bits, 1, 8)
+    assert 0 < leaf.join(found, "leaf").count() < 0.1 * 2 * n
+    assert leaf.join(found, "leaf").where("v0 = 1").count() == n // 1000
+
+
 def test_equal_and_single_snapshots(spark):
     data = [(s, None, k, k, k, None, 0, "") for s in (1, 2) for k in range(200)]
     df = spark.createDataFrame(data, SNAP)
