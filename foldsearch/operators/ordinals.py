@@ -41,7 +41,7 @@ def positions(df: DataFrame, value: str, line: str, out: str = "pos", tasks: int
     low = -(2**62)
     v = F.coalesce(F.col(value).cast("long"), F.lit(low))
     shares = [i / n for i in range(1, n)] or [0.5]
-    cuts = df.select(F.percentile_approx(v, shares, 1000)).first()[0] or []
+    cuts = df.select(F.percentile_approx(v, shares, 20 * max(50, n))).first()[0] or []
     cuts = sorted(set(cuts))
     marks = F.lit(cuts).cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
     higher = F.size(F.filter(marks, lambda c: c > F.col("__fs_v")))

@@ -6,22 +6,26 @@ character index only. Wide rows are fetched by position after the ranking, so on
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from enum import Enum
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldsearch.functions import fold as U
-from foldsearch.operators.artifacts import SEPARATOR, folded_text, raw_fields
-from foldsearch.operators.ordinals import positions
+from foldsearch.operators.artifacts import SEPARATOR, folded_text, raw_fields, search_fields
+from foldsearch.operators.ordinals import positions, running
 from foldsearch.schema import SearchSpec
 
 DEFAULT_LIMIT = 20
 #: The index is left aside when even its rarest character occurs in more than this share of the rows.
 INDEX_SHARE = 0.05
+#: Fewer rows than this are scanned sooner than candidates are looked up; the index is left aside.
+INDEX_LEAST_ROWS = 5_000_000
 #: Needles of a batch looked for in one pass over the texts.
-BATCH_NEEDLES = 500
+BATCH_NEEDLES = 100
+#: Rows of one query's matches numbered in one task, where all are asked for.
+BATCH_RANGE = 100_000
 #: A limited result up to this many rows is broadcast to fetch the wide rows.
 FETCH_ROWS = 100_000
 
@@ -68,14 +72,18 @@ def _rank_strict(raw_primary: Column, raw_alternate: Column, folded: str) -> Col
     return F.when(hit(raw_primary), 0).when(hit(raw_alternate), 1)
 
 
-def candidates(posts: DataFrame, freq: DataFrame, query: Query, n_rows: int, share: float = INDEX_SHARE) -> DataFrame | None:
+def frequencies(freq: DataFrame, codes: list[int]) -> dict[int, int]:
+    """How often the characters occur, a row each brought to the driver."""
+    return {r["scalar"]: r["n"] for r in freq.where(F.col("scalar").isin(codes)).collect()}
+
+
+def candidates(posts: DataFrame, n: dict[int, int], query: Query, n_rows: int, share: float = INDEX_SHARE) -> DataFrame | None:
     """Positions that hold every character of the query; None if even the rarest is too frequent to help.
 
-    The frequencies of the query's characters (a row each) are brought to the driver; the rarest characters are intersected first.
+    ``n`` are the frequencies of the query's characters; the rarest are intersected first.
     """
     codes = [ord(c) for c in query.scalars]
-    n = {r["scalar"]: r["n"] for r in freq.where(F.col("scalar").isin(codes)).collect()}
-    if len(n) < len(codes):
+    if any(k not in n for k in codes):
         return posts.select("pos").where("false")
     useful = sorted((k for k in codes if n[k] <= share * n_rows), key=lambda k: n[k])
     if not useful:
@@ -92,9 +100,19 @@ def intersect_postings(posts: DataFrame, scalars: list[int]) -> DataFrame:
     return posts.where(F.col("scalar").isin(wanted)).groupBy("pos").agg(F.count_distinct("scalar").alias("n")).where(F.col("n") == len(wanted)).select("pos")
 
 
+def intersect_bitmaps(maps: DataFrame, scalars: list[int]) -> DataFrame:
+    """(bucket, bits): positions at which all of ``scalars`` occur, as bitmaps, from those of :func:`artifacts.posting_bitmaps`; empty ones are left out."""
+    wanted = list(dict.fromkeys(scalars))
+    both = maps.where(F.col("scalar").isin(wanted)).groupBy("bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.count_distinct("scalar").alias("n"))
+    return both.where((F.col("n") == len(wanted)) & (F.bitmap_count("bits") > 0)).select("bucket", "bits")
+
+
 @dataclass
 class SearchTables:
-    """What a search reads: wide ``rows`` with ``pos``, and the stored artifacts as far as there are any."""
+    """What a search reads: wide ``rows`` with ``pos``, and the stored artifacts as far as there are any.
+
+    ``present`` are the characters of the corpus, if known (a store says so): folding while scanning then needs only their folds.
+    """
 
     rows: DataFrame
     spec: SearchSpec
@@ -102,6 +120,22 @@ class SearchTables:
     postings: DataFrame | None = None
     freq: DataFrame | None = None
     n_rows: int | None = None
+    present: frozenset[str] | None = None
+    index_least_rows: int = INDEX_LEAST_ROWS
+    _n: dict[int, int] = field(default_factory=dict, repr=False)
+
+    def found(self, query: Query) -> DataFrame | None:
+        """The index's candidates, or None where it doesn't help. Frequencies once asked for are kept: at most one for each character there is."""
+        if self.postings is None or self.freq is None:
+            return None
+        if self.n_rows is None:
+            self.n_rows = self.rows.count()
+        if self.n_rows < self.index_least_rows:
+            return None
+        new = [k for k in map(ord, query.scalars) if k not in self._n]
+        if new:
+            self._n |= dict.fromkeys(new, 0) | frequencies(self.freq, new)
+        return candidates(self.postings, {k: v for k, v in self._n.items() if v}, query, self.n_rows)
 
 
 def matches(tables: SearchTables, query: Query, mode: Mode = Mode.STORED, strict: bool = False, within: DataFrame | None = None) -> DataFrame:
@@ -114,9 +148,8 @@ def matches(tables: SearchTables, query: Query, mode: Mode = Mode.STORED, strict
         return tables.rows.select("pos", F.lit(0).alias("rank")).where("false")
     stored = mode in (Mode.STORED, Mode.INDEX_STORED) and tables.fields is not None and not strict and SEPARATOR not in query.folded
     base = tables.fields if stored else raw_fields(tables.rows, spec)
-    if mode in (Mode.INDEX, Mode.INDEX_STORED) and tables.postings is not None:
-        n = tables.n_rows if tables.n_rows is not None else tables.rows.count()
-        found = candidates(tables.postings, tables.freq, query, n)
+    if mode in (Mode.INDEX, Mode.INDEX_STORED):
+        found = tables.found(query)
         if found is not None:
             base = base.join(found, "pos", "left_semi")
     if within is not None:
@@ -128,7 +161,7 @@ def matches(tables: SearchTables, query: Query, mode: Mode = Mode.STORED, strict
     elif stored:
         rank = rank_of(F.col("primary_text"), F.col("alternate_text"), query.folded)
     else:
-        rank = rank_of(folded_text(F.col("primary_texts")), folded_text(F.col("alternate_texts")), query.folded)
+        rank = rank_of(folded_text(F.col("primary_texts"), tables.present), folded_text(F.col("alternate_texts"), tables.present), query.folded)
     return base.select("pos", rank.alias("rank")).where("rank is not null")
 
 
@@ -161,27 +194,56 @@ def search(tables: SearchTables, text: str, limit: int = DEFAULT_LIMIT, mode: Mo
     return fetch(tables, ranked(matches(tables, query, mode, strict), limit), limit)
 
 
-def batch_search(fields: DataFrame, texts: list[str], limit: int = DEFAULT_LIMIT) -> DataFrame:
+def batch_search(fields: DataFrame, texts: list[str], limit: int = DEFAULT_LIMIT, among: DataFrame | None = None) -> DataFrame:
     """(query_no, pos, rank, rank_no) of many queries in one pass over the stored texts for each block of queries.
 
-    A row is tested against all needles of the block, and only hits leave the scan. Empty queries match nothing here; negative limits mean all.
+    A row is tested against all needles of the block inside generated code, and only hits leave the scan. ``among`` (query_no, pos) limits each query to its
+    candidates. Empty queries match nothing here; negative limits mean all, and then a query's matches are numbered in ranges of
+    positions, so that one that matches most rows needs no single task.
     """
     needles = [(i, Query.of(t).folded) for i, t in enumerate(texts)]
     needles = [(i, n) for i, n in needles if n]
-    out = None
-    for at in range(0, len(needles), BATCH_NEEDLES):
-        block = needles[at : at + BATCH_NEEDLES]
-        listed = F.array(*[F.struct(F.lit(i).alias("query_no"), F.lit(n).alias("needle")) for i, n in block])
-        tested = F.transform(listed, lambda x: F.struct(x["query_no"].alias("query_no"), rank_of(F.col("primary_text"), F.col("alternate_text"), x["needle"]).alias("rank")))
-        hits = fields.select("pos", F.inline(F.filter(tested, lambda x: x["rank"].isNotNull())))
-        out = hits if out is None else out.unionAll(hits)
-    if out is None or limit == 0:
-        base = fields.select("pos", F.lit(0).alias("query_no"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("rank_no"))
-        return base.where("false")
+    if not needles or limit == 0:
+        return fields.select("pos", F.lit(0).alias("query_no"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("rank_no")).where("false")
+    if among is None:
+        out = None
+        for at in range(0, len(needles), BATCH_NEEDLES):
+            block = needles[at : at + BATCH_NEEDLES]
+            tested = F.array(*[F.struct(F.lit(i).alias("query_no"), rank_of(F.col("primary_text"), F.col("alternate_text"), n).alias("rank")) for i, n in block])
+            hits = fields.select("pos", F.inline(tested)).where("rank is not null")
+            out = hits if out is None else out.unionAll(hits)
+    else:
+        named = F.element_at(F.create_map(*[F.lit(x) for i, n in needles for x in (i, n)]), F.col("query_no"))
+        out = among.join(fields, "pos").select("pos", "query_no", rank_of(F.col("primary_text"), F.col("alternate_text"), named).alias("rank")).where("rank is not null")
+    if limit < 0:
+        chunked = out.withColumn("__fs_chunk", F.floor(F.col("pos") / BATCH_RANGE))
+        numbered = running(chunked, ["query_no"], ["rank", "__fs_chunk"], [F.col("pos")], F.lit(1).cast("long"), "rank_no")
+        return numbered.select("query_no", "pos", "rank", (F.col("rank_no") + 1).alias("rank_no"))
     order = Window.partitionBy("query_no").orderBy("rank", "pos")
-    numbered = out.withColumn("rank_no", F.row_number().over(order))
+    numbered = out.select("query_no", "pos", "rank").withColumn("rank_no", F.row_number().over(order))
     # compared before the cast, so that Spark limits each query's rows before the shuffle
-    return (numbered if limit < 0 else numbered.where(F.col("rank_no") <= limit)).withColumn("rank_no", F.col("rank_no").cast("long"))
+    return numbered.where(F.col("rank_no") <= limit).withColumn("rank_no", F.col("rank_no").cast("long"))
+
+
+def batch_candidates(posts: DataFrame, texts: list[str]) -> DataFrame:
+    """(query_no, pos): positions that hold all characters of each query, in one pass over the postings of all their characters."""
+    asked = [(i, list(dict.fromkeys(Query.of(t).folded))) for i, t in enumerate(texts)]
+    spark = posts.sparkSession
+    pairs = [(i, ord(c), len(cs)) for i, cs in asked for c in cs]
+    if not pairs:
+        return posts.select(F.lit(0).alias("query_no"), "pos").where("false")
+    # one row for each query and character of it: the caller's own list
+    wanted = spark.createDataFrame(pairs, "query_no int, scalar int, of int")
+    met = posts.join(F.broadcast(wanted), "scalar").groupBy("query_no", "pos", "of").agg(F.count(F.lit(1)).alias("n"))
+    return met.where("n = of").select("query_no", "pos")
+
+
+def batch(tables: SearchTables, texts: list[str], limit: int = DEFAULT_LIMIT, mode: Mode = Mode.STORED) -> DataFrame:
+    """:func:`batch_search` in any of the four ways."""
+    stored = mode in (Mode.STORED, Mode.INDEX_STORED) and tables.fields is not None
+    fields = tables.fields if stored else search_fields(tables.rows, tables.spec, present=tables.present)
+    among = batch_candidates(tables.postings, texts) if mode in (Mode.INDEX, Mode.INDEX_STORED) and tables.postings is not None else None
+    return batch_search(fields, texts, limit, among)
 
 
 class SearchSession:

@@ -178,7 +178,7 @@ def tables(spark: SparkSession, d: str, index: bool = False) -> SearchTables:
     if not index:
         return SearchTables(rows, PLACES, fields)
     posts = A.postings(fields)
-    return SearchTables(rows, PLACES, fields, posts, A.scalar_freq(posts))
+    return SearchTables(rows, PLACES, fields, posts, A.scalar_freq(posts), index_least_rows=0)
 
 
 def _searched(name: str, text: str, limit: int, mode: Mode = Mode.STORED, index: bool = False) -> None:

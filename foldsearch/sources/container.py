@@ -266,6 +266,14 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "date": pa.date32()}[kind.simpleString()]
 
 
+def write_bytes(spark: SparkSession, data: bytes, path: str) -> None:
+    """Write a container's bytes as one file on whatever storage the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(data))
+    out.close()
+
+
 def container_bytes(df: DataFrame, metadata: dict, magic: str, order: str = "pos", rows: int = WRITE_ROWS) -> bytes:
     """A container of a small table. Tables of more than ``rows`` rows are refused: a container is one block of bytes; use a store."""
     if df.limit(rows + 1).count() > rows:

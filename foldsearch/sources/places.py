@@ -101,6 +101,17 @@ def numbered(rows: DataFrame) -> DataFrame:
     return running(split, ["__fs_all"], ["__fs_file", "__fs_at"], [F.col("line.n")], F.lit(1).cast("long"), "source_line").drop("__fs_file", "__fs_at", "__fs_all", "line")
 
 
+def printed(rows: DataFrame, columns: list[str] | None = None, indent: str = "  ") -> DataFrame:
+    """``rows`` with ``printed``: all (or the given) columns as lines of ``name: value``, null as none, lists in brackets."""
+
+    def one(c: str) -> Column:
+        is_list = rows.schema[c].dataType.typeName() == "array"
+        value = F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]")) if is_list else F.col(c).cast("string")
+        return F.concat(F.lit(f"{indent}{c}: "), F.coalesce(value, F.lit("none")))
+
+    return rows.withColumn("printed", F.concat_ws("\n", *[one(c) for c in (columns or rows.columns)]))
+
+
 def write_report(path: str, title: str, rows: list[dict]) -> None:
     """A Markdown table, replaced at once."""
     head = list(rows[0]) if rows else []

@@ -73,7 +73,10 @@ def read_manifest(spark: SparkSession, path: str) -> Manifest:
 
 
 def read_store(spark: SparkSession, path: str, columns: list[str] | None = None, verify: bool = True) -> SearchTables:
-    """The tables of a store; ``columns`` of the rows only, if given. ``verify`` reads everything once and compares checksums."""
+    """The tables of a store; ``columns`` of the rows only, if given. ``verify`` reads everything once and compares checksums.
+
+    The fold table's characters (bounded by Unicode, not by the data) are held by the driver.
+    """
     manifest = read_manifest(spark, path)
     spec = SearchSpec(**{k: tuple(v) if isinstance(v, list) else v for k, v in manifest.search_spec.items()})
     rows, fields = spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/fields")
@@ -84,12 +87,12 @@ def read_store(spark: SparkSession, path: str, columns: list[str] | None = None,
             raise StoreError("the search texts don't match the manifest")
     if columns is not None:
         rows = rows.select("pos", *[c for c in columns if c != "pos"])
-    return SearchTables(rows, spec, fields, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/freq"), manifest.row_count)
+    return SearchTables(rows, spec, fields, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/freq"), manifest.row_count, frozenset(chr(r["scalar"]) for r in spark.read.parquet(f"{path}/fold").select("scalar").collect()))
 
 
 def with_artifacts(rows: DataFrame, spec: SearchSpec, stored: SearchTables) -> SearchTables:
     """``rows`` searched with another store's artifacts, if they were made from the same texts; else with texts made anew and no index."""
     fields = A.search_fields(rows, spec)
     if stored.fields is not None and fingerprint(fields) == fingerprint(stored.fields.select(*fields.columns)):
-        return SearchTables(rows, spec, stored.fields, stored.postings, stored.freq, stored.n_rows)
+        return SearchTables(rows, spec, stored.fields, stored.postings, stored.freq, stored.n_rows, stored.present)
     return SearchTables(rows, spec, fields)

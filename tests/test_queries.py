@@ -3,9 +3,9 @@
 import pytest
 from helpers import connect, rows_of, sql_rows
 
-from foldsearch.plans import general, reference
+from foldsearch.plans import general, reference, stores
 
-CASES = [(m, n) for m in (general, reference) for n in m.QUERIES]
+CASES = [(m, n) for m in (general, reference, stores) for n in m.QUERIES]
 
 
 @pytest.fixture(scope="module")
