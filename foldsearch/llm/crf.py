@@ -1,8 +1,9 @@
-"""A linear-chain conditional random field in numpy: training by gradient, decoding by Viterbi, both on padded batches.
+"""A linear-chain conditional random field in numpy: training by gradient, decoding by Viterbi where anything but O is possible.
 
-A token's score for a label is a sum over its neighbours, one table for each offset, plus tables for pairs of neighbouring coarse classes. The tables
-are products of a token's features with the weights, so a token is scored by looking up rows; features are made once for each distinct
-token.
+A token's score for a label is a sum over its neighbours, one table for each offset, plus tables for pairs of neighbouring coarse classes and for columns
+that say something of the place of a token (see the caller). The neighbours' tables are sums of the weights of a token's features, so a token is scored by looking up rows; features are made once for each distinct token.
+
+All scores are relative to label O (index 0), which so has score 0 everywhere.
 """
 
 from __future__ import annotations
@@ -11,19 +12,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-OFFSETS = (-5, -4, -3, -2, -1, 0, 1, 2, 3, 4)
+OFFSETS = (-6, -5, -4, -3, -2, -1, 0, 1, 2, 3, 4, 5)
 #: Pairs of offsets whose coarse classes are looked at together.
-PAIRS = ((-2, -1), (-1, 0), (0, 1), (1, 2))
+PAIRS = ((-3, -2), (-2, -1), (-1, 0), (0, 1), (1, 2), (2, 3))
+#: Outside tokens to put between sequences, so that none sees another's.
+GAP = 6
 NEVER = -1e4
-
-
-def shifted(ids: np.ndarray, by: int, fill: int) -> np.ndarray:
-    """``ids`` (sequences x positions) seen ``by`` positions on; beyond the ends ``fill``."""
-    out = np.full_like(ids, fill)
-    n = ids.shape[1]
-    if abs(by) < n:
-        out[:, max(0, -by) : n - max(0, by)] = ids[:, max(0, by) : n - max(0, -by)]
-    return out
+#: Positions scored at once.
+BLOCK = 1 << 15
 
 
 @dataclass
@@ -31,41 +27,114 @@ class Model:
     labels: list[str]
     classes: int
     features: dict[str, int]
-    weights: np.ndarray  # offset x feature x label
-    pairs: np.ndarray  # pair x class*class x label
+    weights: np.ndarray  # offset x feature x label but O
+    pairs: np.ndarray  # pair x class*class x label but O
     moves: np.ndarray  # from label x to label
     starts: np.ndarray
+    columns: list[np.ndarray]  # for each column its values x label but O
     extra: dict = field(default_factory=dict)
 
     def rows(self, tokens: list[tuple[str, ...]]) -> np.ndarray:
-        """Scores (token x offset x label) of tokens given by their features; unknown features count nothing."""
-        out = np.zeros((len(tokens), len(OFFSETS), len(self.labels)), np.float32)
+        """Scores (offset x token x label but O) of tokens given by their features; unknown features count nothing."""
+        out = np.zeros((len(OFFSETS), len(tokens), len(self.labels) - 1), np.float32)
         for i, fs in enumerate(tokens):
             at = [self.features[f] for f in fs if f in self.features]
             if at:
-                out[i] = self.weights[:, at].sum(axis=1)
+                out[:, i] = self.weights[:, at].sum(axis=1)
         return out
 
-    def emissions(self, table: np.ndarray, ids: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """``table`` from :meth:`rows` with row 0 for positions outside; class 0 is outside."""
-        e = np.zeros((*ids.shape, len(self.labels)), np.float32)
-        for k, off in enumerate(OFFSETS):
-            e += table[:, k][shifted(ids, off, 0)]
-        for k, (a, b) in enumerate(PAIRS):
-            e += self.pairs[k][shifted(classes, a, 0) * self.classes + shifted(classes, b, 0)]
+    def emissions(self, table: np.ndarray, ids: np.ndarray, classes: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+        """Scores (position x label but O). ``table`` from :meth:`rows`, its token 0 and class 0 standing for outside; sequences are GAP outside tokens apart."""
+        n = len(ids)
+        e = np.zeros((n, table.shape[2]), np.float32)
+        wide = np.zeros(n + 2 * GAP, np.int64)
+        wide[GAP : GAP + n] = ids
+        cls = np.zeros(n + 2 * GAP, np.int64)
+        cls[GAP : GAP + n] = classes
+        for at in range(0, n, BLOCK):
+            upto = min(n, at + BLOCK)
+            part = e[at:upto]
+            for k, off in enumerate(OFFSETS):
+                part += table[k].take(wide[at + GAP + off : upto + GAP + off], axis=0)
+            for k, (a, b) in enumerate(PAIRS):
+                part += self.pairs[k].take(cls[at + GAP + a : upto + GAP + a] * self.classes + cls[at + GAP + b : upto + GAP + b], axis=0)
+            for own, column in zip(self.columns, columns):
+                part += own.take(column[at:upto], axis=0)
         return e
 
-    def decode(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Best labels (sequences x positions); positions beyond a sequence's length get label 0."""
+    def possible(self, e: np.ndarray, outside: np.ndarray) -> np.ndarray:
+        """Where the best path may have another label than O: the exact gain of the best entity over each position, plus all that moves could add, is above 0.
+
+        An entity of type x from a to b gains B-x at a and I-x after it against O on the whole of it. The best over all a and b around a position
+        are two running maxima over sums from the left.
+        """
+        out = np.zeros(len(e), bool)
+        m = self.moves
+        for b, name in enumerate(self.labels):
+            if not name.startswith("B-"):
+                continue
+            i = self.labels.index("I-" + name[2:])
+            real_from = m[:, 0] > NEVER / 2
+            enter = max((m[real_from, b] - m[real_from, 0]).max(), self.starts[b] - self.starts[0])
+            leave = 0.0
+            for last in (b, i):
+                ok = (m[last] > NEVER / 2) & (m[0] > NEVER / 2)
+                leave = max(leave, (m[last] - m[0])[ok].max())
+            goes_on = max(m[b, i], m[i, i]) - m[0, 0]
+            begun = np.where(outside, NEVER, e[:, b - 1].astype(np.float64))
+            inside = np.where(outside, NEVER, e[:, i - 1] + goes_on)
+            left = np.cumsum(inside)
+            ending = left + np.maximum.accumulate(begun - left)
+            out |= ending + np.maximum.accumulate(left[::-1])[::-1] - left + enter + leave > -1e-3
+        return out & ~outside
+
+    def label(self, e: np.ndarray, outside: np.ndarray) -> np.ndarray:
+        """Best labels of all positions: the same as decoding every sequence whole, but done only where :meth:`possible`."""
+        out = np.zeros(len(e), np.int64)
+        near = self.possible(e, outside)
+        near[1:] |= near[:-1].copy()
+        near[:-1] |= near[1:].copy()
+        near &= ~outside
+        if not near.any():
+            return out
+        edge = np.diff(np.concatenate([[0], near.view(np.int8), [0]]))
+        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        order = np.argsort(end - begin, kind="stable")
+        at = 0
+        while at < len(order):
+            longest = int((end - begin)[order[min(len(order), at + 1000) - 1]])
+            take = order[at : at + max(1, min(1000, 40_000 // longest))]
+            at += len(take)
+            b, n = begin[take], (end - begin)[take]
+            grid = np.minimum(b[:, None] + np.arange(n.max())[None], len(e) - 1)
+            score = np.zeros((*grid.shape, len(self.labels)), np.float32)
+            score[:, :, 1:] = e[grid]
+            first = (b == 0) | outside[b - 1]  # else the first position is known to be O, and likewise the last
+            last = (end[take] == len(e)) | outside[np.minimum(end[take], len(e) - 1)]
+            rows = np.arange(len(take))
+            score[rows[~first], 0, 1:] = NEVER
+            score[rows[~last], n[~last] - 1, 1:] = NEVER
+            got = self.decode(score, n, first)
+            for row, (x, k) in enumerate(zip(b, n)):
+                out[x : x + k] = got[row, :k]
+        return out
+
+    def decode(self, e: np.ndarray, lengths: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+        """Best labels (sequences x positions) of scores with a column for O; positions beyond a sequence's length get label 0.
+
+        ``first`` tells which rows begin a sequence (all by default).
+        """
         n, t, k = e.shape
-        score = e[:, 0] + self.starts
+        begun = self.starts[None] if first is None else np.where(first[:, None], self.starts[None], 0)
+        score = (e[:, 0] + begun).astype(np.float32)
         back = np.zeros((n, t, k), np.int8)
         final = score.copy()
-        moves = self.moves.astype(np.float32)
+        into = np.ascontiguousarray(self.moves.T.astype(np.float32))  # to x from
         for i in range(1, t):
-            step = score[:, :, None] + moves[None]
-            back[:, i] = step.argmax(axis=1)
-            score = step.max(axis=1) + e[:, i]
+            step = score[:, None, :] + into[None]
+            best = step.argmax(axis=2)
+            back[:, i] = best
+            score = np.take_along_axis(step, best[:, :, None], axis=2)[:, :, 0] + e[:, i]
             going = lengths > i
             final[going] = score[going]
         out = np.zeros((n, t), np.int64)
@@ -74,8 +143,7 @@ class Model:
         for i in range(t - 1, -1, -1):
             inside = lengths > i
             out[inside, i] = here[inside]
-            follows = lengths > i
-            here = np.where(follows, back[rows, i, here], here) if i else here
+            here = np.where(inside, back[rows, i, here], here) if i else here
         return out
 
 
@@ -93,107 +161,140 @@ def allowed_moves(labels: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(
-    tokens: list[tuple[str, ...]], token_classes: int, ids: np.ndarray, classes: np.ndarray, gold: np.ndarray, lengths: np.ndarray, labels: list[str], rounds: int = 60, rate: float = 0.15, decay: float = 2e-5
-) -> Model:
-    """Maximise the likelihood of ``gold`` (sequences x positions) by Adam over all sequences at once.
+    tokens: list[tuple[str, ...]], token_classes: int, ids: np.ndarray, classes: np.ndarray, columns: list[np.ndarray], sizes: list[int], gold: np.ndarray, begins: np.ndarray, lengths: np.ndarray, labels: list[str],
+    rounds: int = 60, steps: int = 20, rate: float = 0.08, decay: float = 1e-5, least: int = 3,
+) -> Model:
+    """Maximise the likelihood of ``gold`` by Adam, each round in ``steps`` parts of the sequences.
 
-    ``ids`` are rows of ``tokens`` (feature names of each distinct token; row 0 is outside), ``classes`` the coarse classes (0 outside).
+    ``ids`` are rows of ``tokens`` (feature names of each distinct token; row 0 is outside), ``classes`` the coarse classes (0 outside), ``columns`` of values below
+    ``sizes``, all one after another with GAP outside tokens between sequences, which begin at ``begins``. Features of fewer than ``least`` distinct tokens
+    are left out.
     """
-    names = sorted({f for fs in tokens for f in fs})
+    seen: dict[str, int] = {}
+    for fs in tokens:
+        for f in fs:
+            seen[f] = seen.get(f, 0) + (least if f.startswith("w=") else 1)
+    names = sorted(f for f, c in seen.items() if c >= least)
     index = {f: i for i, f in enumerate(names)}
-    k, n_off = len(labels), len(OFFSETS)
-    flat_tok = np.concatenate([np.full(len(fs), i) for i, fs in enumerate(tokens)]).astype(np.int64)
-    flat_feat = np.array([index[f] for fs in tokens for f in fs], np.int64)
-    by_tok = np.zeros((len(tokens), len(names)), np.float32)
-    by_tok[flat_tok, flat_feat] = 1
+    k, n_off, n_feat = len(labels), len(OFFSETS), len(names)
+    m = k - 1
+    of = np.full((len(tokens), max(len(fs) for fs in tokens)), n_feat, np.int64)  # the row beyond the last feature stays 0
+    for i, fs in enumerate(tokens):
+        at = [index[f] for f in fs if f in index]
+        of[i, : len(at)] = at
     hard_moves, hard_starts = allowed_moves(labels)
-    model = Model(labels, token_classes, index, np.zeros((n_off, len(names), k), np.float32), np.zeros((len(PAIRS), token_classes**2, k), np.float32), hard_moves.copy(), hard_starts.copy())
-    n = len(ids)
-    # sequences of like length together, so that little is padding
+    weights = np.zeros((n_feat + 1, n_off * m), np.float32)
+    pairs = [np.zeros((token_classes**2, m), np.float32) for _ in PAIRS]
+    own = [np.zeros((size, m), np.float32) for size in sizes]
+    moves, first_scores = hard_moves.copy(), hard_starts.copy()
+    padded = np.concatenate([np.zeros(GAP, np.int64), ids, np.zeros(GAP, np.int64)])
+    padded_classes = np.concatenate([np.zeros(GAP, np.int64), classes, np.zeros(GAP, np.int64)])
     groups = []
-    for take in np.array_split(np.argsort(lengths, kind="stable"), min(6, n)):
-        t = int(lengths[take].max())
-        g_ids, g_cls, g_gold, g_len = ids[take, :t], classes[take, :t], gold[take, :t], lengths[take]
-        real = np.arange(t)[None] < g_len[:, None]
-        one = np.zeros((len(take), t, k), np.float32)
-        np.put_along_axis(one, g_gold[..., None], 1, axis=2)
-        one[~real] = 0
-        toks = [shifted(g_ids, off, 0).ravel() for off in OFFSETS]
-        duos = [(shifted(g_cls, a, 0) * token_classes + shifted(g_cls, b, 0)).ravel() for a, b in PAIRS]
-        groups.append((g_ids, g_cls, g_len, real, one, toks, duos))
-    gold_moves = np.zeros((k, k))
-    both = (np.arange(gold.shape[1])[None] < lengths[:, None])[:, 1:]
-    np.add.at(gold_moves, (gold[:, :-1][both], gold[:, 1:][both]), 1)
-    params = [model.weights, model.pairs, model.moves, model.starts]
-    first = [np.zeros_like(p) for p in params]
-    second = [np.zeros_like(p) for p in params]
-    for r in range(1, rounds + 1):
-        table = np.einsum("df,ofk->dok", by_tok, model.weights, optimize=True)
-        g_tok = np.zeros((n_off, len(tokens), k), np.float32)
-        g_duo = np.zeros_like(model.pairs)
-        g_moves, g_starts = gold_moves.copy(), np.zeros(k)
-        for g_ids, g_cls, g_len, real, one, toks, duos in groups:
-            marg, exp_moves = _expected(model.emissions(table, g_ids, g_cls), model.moves, model.starts, g_len)
-            diff = one - marg.astype(np.float32)
-            diff[~real] = 0
-            g_moves -= exp_moves
-            g_starts += diff[:, 0].sum(axis=0)
-            flat = diff.reshape(-1, k)
-            wrong = np.flatnonzero(np.abs(flat).max(axis=1) > 1e-3)  # ever fewer
-            flat = flat[wrong]
-            for i, at in enumerate(toks):
-                g_tok[i] += _sum_rows(at[wrong], flat, len(tokens))
-            for i, at in enumerate(duos):
-                g_duo[i] += _sum_rows(at[wrong], flat, token_classes**2)
-        grads = [
-            np.einsum("df,odk->ofk", by_tok, g_tok, optimize=True) / n,
-            g_duo / n,
-            np.where(hard_moves == NEVER, 0, g_moves) / n,
-            np.where(hard_starts == NEVER, 0, g_starts) / n,
-        ]
-        for p, g, m, v in zip(params, grads, first, second):
-            g = g - decay * np.where(p > NEVER / 2, p, 0)
-            m *= 0.9
-            m += 0.1 * g
-            v *= 0.99
-            v += 0.01 * g * g
-            p += (rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-6)).astype(p.dtype)
+    for take in np.array_split(np.random.default_rng(1).permutation(len(begins)), steps):
+        part_groups = []
+        for part in np.array_split(take[np.argsort(lengths[take], kind="stable")], 2):  # like lengths together, so that little is padding
+            if len(part) == 0:
+                continue
+            t = int(lengths[part].max())
+            real = np.arange(t)[None] < lengths[part][:, None]
+            at = (begins[part][:, None] + np.arange(t)[None])[real]
+            used, local = np.unique(np.stack([padded[at + GAP + off] for off in OFFSETS]), return_inverse=True)
+            feats = of[used]
+            tok, slot = np.nonzero(feats < n_feat)
+            by_feature = np.argsort(feats[tok, slot], kind="stable")
+            sparse = (feats, feats[tok, slot][by_feature], tok[by_feature])
+            duos = [padded_classes[at + GAP + a] * token_classes + padded_classes[at + GAP + b] for a, b in PAIRS]
+            g = gold[at]
+            one = np.zeros((len(at), m), np.float32)
+            one[np.flatnonzero(g), g[g > 0] - 1] = 1
+            whole = np.zeros(real.shape, np.int64)
+            whole[real] = g
+            both = real[:, 1:]
+            moved = np.zeros((k, k))
+            np.add.at(moved, (whole[:, :-1][both], whole[:, 1:][both]), 1)
+            part_groups.append((real, sparse, len(used), local.reshape(n_off, -1), duos, [c[at] for c in columns], one, moved, np.bincount(whole[:, 0], minlength=k), lengths[part]))
+        groups.append(part_groups)
+    params = [weights, moves, first_scores, *pairs, *own]
+    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    done, every = 0, rounds * len(groups)
+    for _ in range(rounds):
+        for part_groups in groups:
+            grads = [np.zeros_like(p) for p in params]
+            size = 0
+            for real, (feats, by_feature, tok), n_used, toks, duos, cols, one, moved, begun, n in part_groups:
+                size += len(real)
+                table = weights.take(feats[:, 0], axis=0)
+                for j in range(1, feats.shape[1]):
+                    table += weights.take(feats[:, j], axis=0)
+                table = table.reshape(n_used, n_off, m)
+                flat = np.zeros((len(one), m), np.float32)
+                for i in range(n_off):
+                    flat += table[toks[i], i]
+                for p, d in zip([*pairs, *own], [*duos, *cols]):
+                    flat += p.take(d, axis=0)
+                e = np.zeros((*real.shape, k), np.float32)
+                e[..., 1:][real] = flat
+                marg, exp_moves, exp_starts = _expected(e, moves, first_scores, n)
+                diff = one - marg[real][:, 1:]
+                grads[1] += moved - exp_moves
+                grads[2] += begun - exp_starts
+                wrong = np.flatnonzero(np.abs(diff).max(axis=1) > 1e-3)  # ever fewer
+                diff = diff[wrong]
+                of_token = np.stack([_sum_rows(toks[i][wrong], diff, n_used) for i in range(n_off)], axis=1).reshape(n_used, n_off * m)
+                on = np.flatnonzero(of_token.any(axis=1)[tok])
+                f = by_feature[on]
+                begins_f = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]])) if len(f) else np.zeros(0, np.int64)
+                if len(f):
+                    grads[0][f[begins_f]] += np.add.reduceat(of_token.take(tok[on], axis=0), begins_f, axis=0)
+                for g, d in zip(grads[3:], [*duos, *cols]):
+                    g += _sum_rows(d[wrong], diff, len(g))
+            done += 1
+            now = rate * min(1.0, 2.0 * (1 - (done - 1) / every))  # slower towards the end
+            grads[1][hard_moves == NEVER] = 0
+            grads[2][hard_starts == NEVER] = 0
+            for p, g, a, b in zip(params, grads, first, second):
+                g = g / size
+                g -= decay * np.where(p > NEVER / 2, p, 0)
+                a *= 0.9
+                a += 0.1 * g
+                b *= 0.99
+                b += 0.01 * g * g
+                p += (now / (1 - 0.9**done) * a / (np.sqrt(b / (1 - 0.99**done)) + 1e-5)).astype(p.dtype)
     # weights near nothing are dropped, so that the model sent to the executors is small
-    used = np.abs(model.weights).max(axis=(0, 2)) > 1e-3
-    kept = [f for f, u in zip(names, used) if u]
-    model.weights = model.weights[:, used]
-    model.features = {f: i for i, f in enumerate(kept)}
-    return model
+    weights = weights[:n_feat]
+    kept = np.abs(weights).max(axis=1) > 1e-3
+    own_names = {f: i for i, f in enumerate(n for n, u in zip(names, kept) if u)}
+    by_offset = np.ascontiguousarray(weights[kept].reshape(-1, n_off, m).transpose(1, 0, 2))
+    return Model(labels, token_classes, own_names, by_offset, np.stack(pairs), moves, first_scores, own)
 
 
 def _sum_rows(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    return np.stack([np.bincount(at, weights=rows[:, j], minlength=size) for j in range(rows.shape[1])], axis=1).astype(np.float32)
+    k = rows.shape[1]
+    flat = (at[:, None] * k + np.arange(k)[None]).ravel()
+    return np.bincount(flat, weights=rows.ravel(), minlength=size * k).reshape(size, k).astype(np.float32)
 
 
-def _expected(e: np.ndarray, moves: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of labels and summed marginals of moves, by scaled forward and backward passes."""
+def _expected(e: np.ndarray, moves: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals of labels, summed marginals of moves and of first labels, by scaled forward and backward passes."""
     n, t, k = e.shape
-    x = np.exp(e - e.max(axis=2, keepdims=True)).astype(np.float64)
-    a = np.exp(np.clip(moves, -50, 50)) * (moves > NEVER / 2)
-    alpha = np.zeros((n, t, k))
-    alpha[:, 0] = x[:, 0] * np.exp(np.clip(starts, -50, 50)) * (starts > NEVER / 2)
-    alpha[:, 0] /= alpha[:, 0].sum(axis=1, keepdims=True)
+    x = np.exp(e - e.max(axis=2, keepdims=True))
+    a = (np.exp(np.clip(moves, -50, 50)) * (moves > NEVER / 2)).astype(np.float32)
+    alpha = np.zeros((t, n, k), np.float32)
+    xs = np.ascontiguousarray(x.transpose(1, 0, 2))
+    alpha[0] = xs[0] * (np.exp(np.clip(starts, -50, 50)) * (starts > NEVER / 2)).astype(np.float32)
+    alpha[0] /= alpha[0].sum(axis=1, keepdims=True)
     for i in range(1, t):
-        s = (alpha[:, i - 1] @ a) * x[:, i]
-        alpha[:, i] = s / np.maximum(s.sum(axis=1, keepdims=True), 1e-300)
-    beta = np.ones((n, t, k))
+        s = (alpha[i - 1] @ a) * xs[i]
+        alpha[i] = s / np.maximum(s.sum(axis=1, keepdims=True), 1e-30)
+    beta = np.ones((t, n, k), np.float32)
     for i in range(t - 2, -1, -1):
-        s = (beta[:, i + 1] * x[:, i + 1]) @ a.T
-        s /= np.maximum(s.sum(axis=1, keepdims=True), 1e-300)
-        beta[:, i] = np.where((lengths > i + 1)[:, None], s, 1.0)
+        s = (beta[i + 1] * xs[i + 1]) @ a.T
+        s /= np.maximum(s.sum(axis=1, keepdims=True), 1e-30)
+        beta[i] = np.where((lengths > i + 1)[:, None], s, 1.0)
     marg = alpha * beta
-    marg /= np.maximum(marg.sum(axis=2, keepdims=True), 1e-300)
-    exp_moves = np.zeros((k, k))
-    for i in range(1, t):
-        going = lengths > i
-        if not going.any():
-            break
-        left, right = alpha[going, i - 1], (beta[:, i] * x[:, i])[going]
-        z = np.einsum("na,ab,nb->n", left, a, right, optimize=True)
-        exp_moves += a * ((left / np.maximum(z, 1e-300)[:, None]).T @ right)
-    return marg, exp_moves
+    marg /= np.maximum(marg.sum(axis=2, keepdims=True), 1e-30)
+    going = np.arange(1, t)[:, None] < lengths[None]
+    left, right = alpha[:-1][going], (beta[1:] * xs[1:])[going]
+    z = ((left @ a) * right).sum(axis=1)
+    exp_moves = a * ((left / np.maximum(z, 1e-30)[:, None]).T @ right) if len(left) else np.zeros((k, k))
+    return marg.transpose(1, 0, 2), exp_moves.astype(float), marg[0].sum(axis=0).astype(float)
