@@ -70,14 +70,26 @@ def crc_hex(c: Column) -> Column:
     return F.lpad(F.lower(F.hex(F.crc32(c.cast("binary")))), 8, "0")
 
 
-def fingerprint(df: DataFrame) -> str:
-    """A checksum of all rows, whatever their order: count and sum of row hashes as hexadecimal digits. One pass, one row to the driver."""
-    plain = [F.to_json(F.struct(F.col(f"`{c}`"))) for c in sorted(df.columns)]
-    row = F.xxhash64(*plain)
-    got = df.agg(F.count(F.lit(1)).alias("n"), F.sum(row.bitwiseAND(0xFFFFFFFF)).alias("lo"), F.sum(F.shiftrightunsigned(row, 32)).alias("hi")).first()
+def fingerprint_columns(df: DataFrame) -> list[Column]:
+    """Aggregates a fingerprint is made of: rows and the sums of the halves of their hashes. They can be observed while rows are written."""
+    parts: list[Column] = []
+    for f in sorted(df.schema.fields, key=lambda f: f.name):
+        c = F.col(f"`{f.name}`")
+        nested = f.dataType.typeName() in ("array", "map", "struct", "variant")
+        parts += [c.isNull(), F.to_json(F.struct(c)) if nested else c]  # a null adds nothing to a hash, so it is said
+    row = F.xxhash64(*parts)
+    return [F.count(F.lit(1)).alias("n"), F.sum(row.bitwiseAND(0xFFFFFFFF)).alias("lo"), F.sum(F.shiftrightunsigned(row, 32)).alias("hi")]
+
+
+def fingerprint_text(got) -> str:
     return f"{got['n']:x}-{(got['lo'] or 0):x}-{(got['hi'] or 0):x}"
 
 
+def fingerprint(df: DataFrame) -> str:
+    """A checksum of all rows, whatever their order, as hexadecimal digits. One pass, one row to the driver."""
+    return fingerprint_text(df.agg(*fingerprint_columns(df)).first())
+
+
 def last_wins(df: DataFrame, key: str, value: str, line: str) -> DataFrame:
     """(key, value): of repeated keys the value of the last line. Null keys are left out."""
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(value, line).alias(value))

@@ -48,7 +48,7 @@ def postings(fields: DataFrame) -> DataFrame:
 
 def scalar(c: Column) -> Column:
     """Code point of a single character."""
-    return F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("int")
+    return F.ascii(c)
 
 
 def scalar_freq(posts: DataFrame) -> DataFrame:

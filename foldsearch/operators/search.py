@@ -6,10 +6,11 @@ character index only. Wide rows are fetched by position after the ranking, so on
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from enum import Enum
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from foldsearch.functions import fold as U
@@ -246,6 +247,20 @@ def batch(tables: SearchTables, texts: list[str], limit: int = DEFAULT_LIMIT, mo
     return batch_search(fields, texts, limit, among)
 
 
+def visit(tables: SearchTables, text: str, each: Callable[[Row], bool], mode: Mode = Mode.STORED) -> int:
+    """Give ``each`` the matching rows in order of rank until it returns False; how many it was given.
+
+    Rows come to the driver a partition at a time, so stopping early leaves the rest of them where they are.
+    """
+    found = search(tables, text, -1, mode).orderBy("rank_no")
+    given = 0
+    for row in found.toLocalIterator():
+        given += 1
+        if not each(row):
+            break
+    return given
+
+
 class SearchSession:
     """Type-ahead: a query that goes on from the last one is looked for only among its matches.
 

@@ -40,13 +40,15 @@ def shuffle_tasks(spark: SparkSession) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where the setting is absent (tests).
+    """The shared folder of spark.checkpoint.dir; a temporary one only where the setting is absent and all runs on one machine (tests).
 
-    The setting is read from the session; a cluster must name a folder all executors share.
+    The setting is read from the session; a cluster must name a folder all executors share, and without one this fails.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not (sc.master or "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "foldsearch-checkpoint"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from foldsearch.functions.fields import fingerprint
+from foldsearch.functions.fields import fingerprint, fingerprint_columns, fingerprint_text
 from foldsearch.functions.fold import fold_table
 from foldsearch.operators import artifacts as A
 from foldsearch.operators.ordinals import positions
@@ -27,11 +27,11 @@ def write_store(df: DataFrame, path: str, spec: SearchSpec = PLACES, source_name
     """Number the rows by the spec's order and write everything, replacing what was at ``path``."""
     spark = df.sparkSession
     n = shuffle_tasks(spark)
-    rows = positions(df, spec.order_value, spec.order_line)
-    rows.repartitionByRange(n, "pos").sortWithinPartitions("pos").write.mode("overwrite").parquet(f"{path}/rows")
+    ordered = positions(df, spec.order_value, spec.order_line).repartitionByRange(n, "pos").sortWithinPartitions("pos")
+    of_rows = _written(ordered, f"{path}/rows")
     rows = spark.read.parquet(f"{path}/rows")
     present = A.corpus_chars(rows, spec)
-    A.search_fields(rows, spec, present=present).write.mode("overwrite").parquet(f"{path}/fields")
+    of_fields = _written(A.search_fields(rows, spec, present=present), f"{path}/fields")
     fields = spark.read.parquet(f"{path}/fields")
     A.postings(fields).repartitionByRange(n, "scalar", "pos").sortWithinPartitions("scalar", "pos").write.mode("overwrite").parquet(f"{path}/postings")
     A.scalar_freq(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/freq")
@@ -42,9 +42,9 @@ def write_store(df: DataFrame, path: str, spec: SearchSpec = PLACES, source_name
         datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"),
         source_name,
         f"{spec.order_value} descending",
-        rows.count(),
-        fingerprint(rows),
-        fingerprint(fields),
+        of_rows["n"],
+        fingerprint_text(of_rows),
+        fingerprint_text(of_fields),
         {"id": spec.id, "primary": list(spec.primary), "alternate": list(spec.alternate), "order_value": spec.order_value, "order_line": spec.order_line},
         source_urls or [],
         "admin1_name" in df.columns,
@@ -54,6 +54,13 @@ def write_store(df: DataFrame, path: str, spec: SearchSpec = PLACES, source_name
     return manifest
 
 
+def _written(df: DataFrame, path: str) -> dict:
+    """Write ``df``; what its fingerprint is made of is observed on the way."""
+    seen = Observation()
+    df.observe(seen, *fingerprint_columns(df)).write.mode("overwrite").parquet(path)
+    return seen.get
+
+
 def _write_manifest(spark: SparkSession, path: str, manifest: Manifest) -> None:
     spark.range(1).select(F.lit(manifest.to_json()).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 

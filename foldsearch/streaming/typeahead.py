@@ -7,6 +7,7 @@ the stored search texts for all queries of a micro-batch.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,7 +29,10 @@ def step_kind(was: str, folded: str, trimmed: str) -> str:
     return "narrow" if was and folded.startswith(was) else "fresh"
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None = None) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     was = state.get[0] if state.exists else ""
     seen = pd.concat(list(batches), ignore_index=True).sort_values("step_no", kind="stable")
     out = []
@@ -37,21 +41,27 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         kind = step_kind(was, q.folded, q.trimmed)
         out.append((key[0], int(step), q.folded, kind))
         was = "" if kind == "clear" else q.folded
-    state.update((was,))
+    if was:
+        state.update((was,))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+    elif state.exists:  # nothing asked, nothing kept
+        state.remove()
     yield pd.DataFrame(out, columns=["session_id", "step_no", "folded", "kind"])
 
 
-def typeahead_steps(keystrokes: DataFrame) -> DataFrame:
+def typeahead_steps(keystrokes: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """(session_id, step_no, folded, kind) for a stream of (session_id, step_no, text); steps of a session in order within a micro-batch.
 
-    A null text counts as empty. Rows with a null session are left out.
+    ``idle_ms``: a session without a keystroke for so long is forgotten (for streams that run on; with a trigger that ends when all is read, Spark goes on
+    waiting for the time to pass). A cleared session is forgotten at once. A null text counts as empty. Rows with a null session are left out.
     """
     ship_package(keystrokes.sparkSession)
     return (
         keystrokes.where(F.col("session_id").isNotNull())
         .select("session_id", F.col("step_no").cast("long").alias("step_no"), "text")
         .groupBy("session_id")
-        .applyInPandasWithState(_advance, STEPS, "folded string", "append", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(partial(_advance, idle_ms=idle_ms), STEPS, "folded string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from foldsearch.operators.search import Mode, SearchTables, search
 from foldsearch.sources.places import write_report
 
+# The published workload's queries and limits
 QUERIES = ["a", "an", "new", "san", "city", "to", "tok", "tokyo", "mün", "mun", "são", "rio", "los", "paris", "york", "京", "東京", "北京", "ß", "ffi"]
 LIMITS = (-1, 100, 50, 20)
 

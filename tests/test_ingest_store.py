@@ -56,6 +56,16 @@ def test_ingest_feeds_a_store(spark, files, tmp_path):
     assert [r["geoname_id"] for r in search(t, "ünï").collect()] == [1]
 
 
+def test_command_line(spark, files, tmp_path, capsys):
+    from foldsearch.__main__ import main
+
+    out = str(tmp_path / "s")
+    assert main(["build", *(str(files / f) for f in ("places.txt", "a1.txt", "a2.txt")), out, "--source", "made up"]) == 0
+    assert main(["info", out]) == 0 and '"row_count": 4' in capsys.readouterr().out
+    assert main(["search", out, "ünï", "--limit", "5"]) == 0 and "  geoname_id: 1" in capsys.readouterr().out
+    assert main(["info", out + "-none"]) == 1 and "no store" in capsys.readouterr().err
+
+
 def test_zip(files, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.write(files / "a1.txt", "a1.txt")

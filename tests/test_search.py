@@ -23,7 +23,7 @@ def tables(spark, places, index=True):
     rows = spark.createDataFrame([(*p, i) for i, p in enumerate(places)], SCHEMA)
     fields = A.search_fields(rows, SPEC)
     posts = A.postings(fields)
-    return SearchTables(rows, SPEC, fields, posts, A.scalar_freq(posts), len(places)) if index else SearchTables(rows, SPEC, fields)
+    return SearchTables(rows, SPEC, fields, posts, A.scalar_freq(posts), len(places), index_least_rows=0) if index else SearchTables(rows, SPEC, fields)
 
 
 def ids(df):
@@ -151,3 +151,25 @@ def test_positions(spark):
     assert got == sorted(rows, key=lambda x: (-(x[0] if x[0] is not None else -(2**62)), x[1]))
     assert [x["pos"] for x in positions(df, "v", "l").orderBy("pos").collect()] == list(range(300))
     assert positions(df.limit(0), "v", "l").count() == 0
+
+
+def test_visit_stops_early(spark):
+    from foldsearch.operators.search import visit
+
+    t = tables(spark, MIXED)
+    seen = []
+    assert visit(t, "o", lambda r: seen.append(r["rank_no"]) or len(seen) < 2) == 2 and seen == [1, 2]
+    assert visit(t, "qqqq", lambda r: True) == 0
+
+
+def test_batches_in_all_ways(spark):
+    from foldsearch.operators.search import batch
+
+    t = tables(spark, MIXED)
+    t.fields = A.search_fields(t.rows, SPEC)
+    asked = ["o", "tok", "", "京", "qq"]
+    for mode in Mode:
+        for limit in (-1, 2):
+            got = sorted(tuple(r) for r in batch(t, asked, limit, mode).select("query_no", "pos", "rank", "rank_no").collect())
+            plain = sorted((i, r["pos"], r["rank"], r["rank_no"]) for i, q in enumerate(asked) if q for r in search(t, q, limit).collect())
+            assert got == plain, (mode, limit)
