@@ -140,12 +140,10 @@ def store_refused(spark: SparkSession, d: str) -> DataFrame:
 
 
 def container_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """The places in ranking order through a binary container and back."""
+    """The places in ranking order through binary containers and back."""
     at = scratch(spark)
-    rows = placed(spark, d)
-    data = container.container_bytes(rows, {"generatedAt": "2024-01-01T00:00:00Z", "sourceName": "test tables"}, MAGIC)
-    container.write_bytes(spark, data, f"{at}/places.bin")
-    got = container.read_container(spark, f"{at}/places.bin", MAGIC)
+    container.write_containers(placed(spark, d), at, {"generatedAt": "2024-01-01T00:00:00Z", "sourceName": "test tables"}, MAGIC)
+    got = container.read_container(spark, at, MAGIC)
     return got.select("pos", "geoname_id", "name", "country_code", "population", "elevation", "modification_date", "admin1_name", F.size("alternate_names").alias("n_other"))
 
 

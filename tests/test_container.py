@@ -68,3 +68,31 @@ def test_read_in_spark(spark, small_dir, tmp_path):
     assert got.orderBy("pos").select("pos", *names).collect() == rows.orderBy("pos").select("pos", *names).collect()
     with pytest.raises(C.ContainerError):
         C.container_bytes(rows, META, MAGIC, rows=5)
+
+
+@pytest.mark.parametrize("file_bytes", [C.FILE_BYTES, 2000])
+def test_table_of_many_files(spark, small_dir, tmp_path, file_bytes):
+    from foldsearch.operators.ordinals import positions
+
+    rows = positions(spark.read.parquet(f"{small_dir}/cities.parquet").where("population <> 0"), "population", "source_line")
+    names = [n for n, _ in C.RECORD]
+    for i, df in enumerate((rows, rows.where("pos % 7 <> 3"), rows.repartition(3, "geoname_id"), rows.where("pos < 0"))):
+        C.write_containers(df, f"{tmp_path}/{i}", META, MAGIC, file_bytes=file_bytes)
+        got = C.read_container(spark, f"{tmp_path}/{i}", MAGIC)
+        assert got.orderBy("pos").select("pos", *names).collect() == df.orderBy("pos").select("pos", *names).collect()
+    files = [C.opened(p.read_bytes(), MAGIC) for p in (tmp_path / "0").glob("part-*")]
+    assert all(len(payload) < file_bytes + 2000 for _, payload in files)
+    assert sum(meta["cityCount"] for meta, _ in files) == rows.count()
+
+
+def test_roundtrip_of_more_rows_than_the_driver_takes(spark, small_dir, monkeypatch):
+    from foldsearch.plans import stores
+
+    monkeypatch.setattr(C.container_bytes, "__defaults__", ("pos", 5))
+    got = [r["pos"] for r in stores.container_roundtrip(spark, small_dir).select("pos").orderBy("pos").collect()]
+    assert len(got) > 5 and got == list(range(len(got)))
+
+
+def test_null_in_a_list_is_refused():
+    with pytest.raises(C.ContainerError):
+        C.encode([row(), row(cc2=["US", None])], META, MAGIC)
